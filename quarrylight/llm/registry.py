@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarrylight.llm import exact_dedup, mixing, quality, sharding
+from quarrylight.llm import bpe, exact_dedup, mixing, quality, sharding
 
 QUERIES = {
     "op4_two_pass_shuffle": sharding.op4_two_pass_shuffle,
     "op7_counting_quotient_dedup": exact_dedup.op7_counting_quotient_dedup,
     "op8_curriculum_mix": mixing.op8_curriculum_mix,
+    "op9_segment_tree_bpe": bpe.op9_segment_tree_bpe,
     "op10_adaptive_quality": quality.op10_adaptive_quality,
 }
 ORACLE_SQL = {
