@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarrylight.llm import bpe, exact_dedup, mixing, quality, sharding
+from quarrylight.llm import bpe, exact_dedup, mixing, ngram_join, quality, sharding
 
 QUERIES = {
+    "op2_chosen_path_join": ngram_join.op2_chosen_path_join,
     "op4_two_pass_shuffle": sharding.op4_two_pass_shuffle,
     "op7_counting_quotient_dedup": exact_dedup.op7_counting_quotient_dedup,
     "op8_curriculum_mix": mixing.op8_curriculum_mix,
