@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarrylight.llm import bpe, exact_dedup, mixing, ngram_join, quality, sharding
+from quarrylight.llm import bpe, exact_dedup, mixing, ngram_join, quality, quotes, sharding
 
 QUERIES = {
     "op2_chosen_path_join": ngram_join.op2_chosen_path_join,
+    "op3_quotation_links": quotes.op3_quotation_links,
     "op4_two_pass_shuffle": sharding.op4_two_pass_shuffle,
     "op7_counting_quotient_dedup": exact_dedup.op7_counting_quotient_dedup,
     "op8_curriculum_mix": mixing.op8_curriculum_mix,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_adaptive_quality": quality.op10_adaptive_quality,
 }
 ORACLE_SQL = {
+    "op3_quotation_links": quotes.OP3_SQL,
     "op7_counting_quotient_dedup": exact_dedup.OP7_SQL,
     "op8_curriculum_mix": mixing.OP8_SQL,
     "op10_adaptive_quality": quality.OP10_SQL,
