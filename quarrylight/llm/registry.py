@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylight.llm import bpe, exact_dedup, html_main, langid, mixing, ngram_join, quality, quotes, sharding
+from quarrylight.llm import bpe, exact_dedup, html_main, langid, mixing, ngram_join, pii, quality, quotes, sharding
 
 QUERIES = {
     "op1_hierarchical_svm": langid.op1_hierarchical_svm,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quotation_links": quotes.op3_quotation_links,
     "op4_two_pass_shuffle": sharding.op4_two_pass_shuffle,
     "op5_dom_crf": html_main.op5_dom_crf,
+    "op6_bilstm_crf": pii.op6_bilstm_crf,
     "op7_counting_quotient_dedup": exact_dedup.op7_counting_quotient_dedup,
     "op8_curriculum_mix": mixing.op8_curriculum_mix,
     "op9_segment_tree_bpe": bpe.op9_segment_tree_bpe,
