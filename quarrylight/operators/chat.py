@@ -44,11 +44,12 @@ def dangling_tools(messages: DataFrame) -> DataFrame:
     return kept.filter("role = 'tool'").join(calls, "conv_id", "left").filter(~F.coalesce(F.array_contains("_calls", F.col("tool_call_id")), F.lit(False))).select("conv_id", "turn")
 
 
-def compile_history(messages: DataFrame, context: int | None, max_tokens: int, tool_tokens: int = 0, counter: tokens.Counter = tokens.count) -> DataFrame:
+def compile_history(messages: DataFrame, context: int | None, max_tokens: int, tool_tokens: int = 0, counter: tokens.Counter = tokens.count, strict: bool = True) -> DataFrame:
     """Kept messages: conv_id, turn, role, did_prune, context_percentage; the budget must hold system, tail and tools.
 
     messages: conv_id, turn, role, content. The first system message stays, other system and all empty messages go. The
-    oldest messages go until the rest fits, and tool messages that then lead go with them.
+    oldest messages go until the rest fits, and tool messages that then lead go with them. If system, tail and tools
+    alone are over a given context the query fails, or, if not strict, keeps just these.
     """
     length = context if context is not None else tokens.DEFAULT_LENGTH
     available = length - int(min(tokens.BUFFER_MOST, length * tokens.BUFFER_SHARE)) - min(tokens.LEAST_RESPONSE, max_tokens)
@@ -60,7 +61,7 @@ def compile_history(messages: DataFrame, context: int | None, max_tokens: int, t
     rows = rows.join(system, "conv_id", "left").fillna(0, ["_system"])
     rows = rows.withColumn("_tail", F.sum(F.when(F.col("in_tail"), F.col("tokens")).otherwise(0)).over(whole))
     rows = rows.withColumn("_room", available - tool_tokens - F.col("_system") - F.col("_tail"))
-    if context is not None:
+    if context is not None and strict:
         rows = rows.withColumn("_room", F.when(F.col("_room") < 0, F.raise_error(F.lit("Not enough context available to include the system message, last user message, and tools.")).cast("long")).otherwise(F.col("_room")))
     newest = whole.orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_left", F.sum(F.when(F.col("in_tail"), 0).otherwise(F.col("tokens"))).over(newest))
