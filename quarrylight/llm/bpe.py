@@ -23,7 +23,9 @@ from quarrylight.llm.common import schema_with, slices, string_buffers
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces that a worker remembers; beyond that it forgets all and goes on. Results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Bytes of text that are split at once, and ids that are decoded at once.
+SPLIT_BYTES, DECODED_IDS = 1 << 19, 1 << 16
 #: Pieces of up to this many bytes are merged side by side.
 SIDE_BY_SIDE = 128
 _NONE = np.int64(1) << np.int64(62)
@@ -74,7 +76,11 @@ class Ranks:
         """(bytes, offsets) of lists of ids that lie one behind the other."""
         n = self.lengths[ids]
         ends = np.concatenate([[0], np.cumsum(n)])
-        return self.bytes[ranges(self.starts[ids], n, ends)], ends[offsets]
+        out = np.empty(ends[-1], np.uint8)
+        for a in range(0, len(ids), DECODED_IDS):  # places of bytes take eight times the bytes
+            b = min(a + DECODED_IDS, len(ids))
+            out[ends[a] : ends[b]] = self.bytes[ranges(self.starts[ids[a:b]], n[a:b], ends[a : b + 1] - ends[a])]
+        return out, ends[offsets]
 
 
 def ranges(start: np.ndarray, length: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -259,9 +265,9 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, p
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             _, offs = string_buffers(column)
-            for a, b in slices(offs, 1 << 23):
+            for a, b in slices(offs):
                 found, stops = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
-                for c, d in slices(offs[a : b + 1]):
+                for c, d in slices(offs[a : b + 1], SPLIT_BYTES):
                     part, off = encoder.encode([split(x or "", pattern, compiled) for x in column.slice(a + c, d - c).to_pylist()])
                     found.append(part)
                     stops.append(stops[-1][-1] + off[1:])
