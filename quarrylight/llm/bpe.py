@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.common import schema_with, slices, string_buffers
+from quarrylight.llm.common import schema_with, set_aside, slices, string_buffers
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces that a worker remembers; beyond that it forgets all and goes on. Results do not depend on it.
@@ -253,10 +253,11 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, p
 
     decoded: a column for the bytes of those ids, or None. Null texts count as empty: no ids, no bytes. Characters
     that no alternative of the pattern matches are not encoded (the public pattern leaves none out). Other columns and
-    repeated rows pass through; an empty table gives an empty table.
+    repeated rows pass through, columns of the new names under a leading underscore; an empty table gives an empty table.
     """
     import public_tokenizers
 
+    docs = set_aside(docs, ids, *([decoded] if decoded else []))
     path, pattern = vocabulary or vocabulary_path(), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,6 +45,14 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """df whose columns of these names (in any case) get leading underscores, so that new columns can take the names."""
+    for c in df.columns:
+        if c.lower() in names:
+            df = df.withColumnRenamed(c, free_name(df, f"_{c}"))
+    return df
+
+
 def quoted(name: str) -> str:
     """A column name as an identifier, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

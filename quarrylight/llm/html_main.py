@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quarrylight.llm.common import schema_with
+from quarrylight.llm.common import schema_with, set_aside
 
 #: Elements that end a line of text, elements without content, and elements whose content is no text.
 BLOCK_TAGS = frozenset(
@@ -512,8 +512,10 @@ def main_text(page: str | None, field: Field) -> str:
 def extract(pages: DataFrame, source: str = "html", field: Field | None = None, into: str = "text") -> DataFrame:
     """pages with the main text of every whole page. Null pages are empty and have an empty text.
 
-    Other columns (not called as the new one) and repeated rows pass through; an empty table gives an empty table.
+    Other columns and repeated rows pass through, one called as the new one under a leading underscore; an empty table
+    gives an empty table.
     """
+    pages = set_aside(pages, into)
     field = field or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

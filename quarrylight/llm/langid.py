@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.common import materialise, schema_with, slices, string_buffers
+from quarrylight.llm.common import materialise, schema_with, set_aside, slices, string_buffers
 
 #: Families of languages by ISO 639 code. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -197,7 +197,8 @@ def learn(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> Model
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "ids", "counts"])
 
     key = picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    texts = docs.join(F.broadcast(key), docs["doc_id"] == key["_id"]).select("_lang", F.col(text))  # rows: SAMPLE_ROWS a language
+    plain = docs.select("doc_id", F.col(text).alias("text"))
+    texts = plain.join(F.broadcast(key), plain["doc_id"] == key["_id"]).select("_lang", "text")  # rows: SAMPLE_ROWS a language
     got = texts.mapInArrow(count, "lang string, ids array<int>, counts array<int>").toPandas()
     got = sorted(zip(got["lang"], got["ids"], got["counts"], strict=True), key=lambda x: (x[0], len(x[1]), np.asarray(x[1]).tobytes(), np.asarray(x[2]).tobytes()))
     return fit([(a, np.asarray(b, np.int64), np.asarray(c, np.float64)) for a, b, c in got])
@@ -207,9 +208,11 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     """docs with lang_pred and score, from whole texts alone.
 
     Null texts and texts without a letter are `und` with score 0, as are all if there is no model. Other columns
-    (not called lang_pred or score) and repeated rows pass through; an empty table gives an empty table.
+    and repeated rows pass through, columns of the new names under a leading underscore; an empty table gives an empty table.
     """
 
+    docs = set_aside(docs, "lang_pred", "score")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.common import per_doc, schema_with, string_buffers
+from quarrylight.llm.common import per_doc, schema_with, set_aside, string_buffers
 
 #: Kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -386,9 +386,10 @@ def joined(spans: list[Span]) -> str:
 def detect(docs: DataFrame, text: str = "text", net: Network | None = None) -> DataFrame:
     """docs with pii (all spans) and pii_base (those of the patterns): arrays of (kind, start, end) in code points, end exclusive.
 
-    Spans are ordered by start, then by kind. Null texts count as empty and have none. Other columns (not of these
-    names) and repeated rows pass through; an empty table gives an empty table.
+    Spans are ordered by start, then by kind. Null texts count as empty and have none. Other columns and
+    repeated rows pass through, columns of these names under a leading underscore; an empty table gives an empty table.
     """
+    docs = set_aside(docs, "pii", "pii_base")
     net = net or trained()
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.common import Spans, free_name, materialise, mix, per_doc, schema_with, slices, small_side, string_buffers, word_spans
+from quarrylight.llm.common import SPACE, Spans, free_name, materialise, mix, per_doc, schema_with, set_aside, slices, small_side, string_buffers, word_spans
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = np.zeros(256, bool)
@@ -37,7 +37,7 @@ def text_counts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     spans, (start, end) = Spans(buf), word_spans(buf, offs)
     first = np.searchsorted(start, offs)  # words of document i: first[i] to first[i + 1]
     out = {"n_words": np.diff(first)}
-    out["word_chars"] = per_doc(((buf & 0xC0) != 0x80) & ~_white(buf), offs)
+    out["word_chars"] = per_doc(((buf & 0xC0) != 0x80) & ~SPACE[buf], offs)
     out["n_symbols"] = per_doc(_SYMBOL[buf], offs)
     # lines that hold a word
     newline = np.flatnonzero(buf == 10)
@@ -89,14 +89,9 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return found
 
 
-def _white(buf: np.ndarray) -> np.ndarray:
-    from quarrylight.llm.common import SPACE
-
-    return SPACE[buf]
-
-
 def annotate(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with the columns of COUNTS (clashing names of docs must be renamed before). Null texts have no words."""
+    """docs with the columns of COUNTS; columns of these names get a leading underscore. Null texts have no words."""
+    docs = set_aside(docs, *COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

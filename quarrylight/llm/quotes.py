@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import free_name, materialise, quoted
+from quarrylight.llm.common import free_name, materialise, quoted, set_aside
 
 #: Quote marks at the start of a line, with or without spaces between and after them.
 MARKS = r"^[\x20\t]*>(?:[\x20\t]*>)*[\x20\t]?"
@@ -127,10 +127,8 @@ def reply_order(messages: DataFrame) -> DataFrame:
     conv_id form one conversation whose quotes are not linked. Extra columns are kept unless they bear one of these names,
     which get a leading underscore. An empty table gives an empty table.
     """
-    mine = {"reply_to", "depth", "n_quote_lines", "previous", "branch", "path", "before"}
-    for c in messages.columns:
-        if c.lower() in mine:
-            messages = messages.withColumnRenamed(c, free_name(messages, f"_{c}"))
+    messages = set_aside(messages, "reply_to", "depth", "n_quote_lines")
+    at_conv, at_turn, path = (free_name(messages, x) for x in ("_at_conv", "_at_turn", "_reply_path"))
     slim = messages.select("conv_id", "turn", "text")
     turns = slim.select("conv_id", "turn").filter("turn IS NOT NULL").distinct().withColumn("said", F.col("turn").cast("long"))
     ordered = _last_before(turns, ["conv_id"], "said", inclusive=False).select("conv_id", "turn", F.col("before").alias("previous"))
@@ -138,15 +136,15 @@ def reply_order(messages: DataFrame) -> DataFrame:
     links = materialise(link_quotes(slim.filter("conv_id IS NOT NULL AND turn IS NOT NULL")), "quote-links")
     placed, paths = branches(ordered, links)
     place = placed.join(links, ["conv_id", "turn"], "left").join(paths, ["conv_id", "branch"], "left")
-    place = place.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.coalesce("reply_to", "previous").alias("reply_to"), F.coalesce(F.size("path"), F.lit(0)).alias("depth"), F.coalesce("path", F.array().cast(paths.schema["path"].dataType)).alias("_path"))
+    place = place.select(F.col("conv_id").alias(at_conv), F.col("turn").alias(at_turn), F.coalesce("reply_to", "previous").alias("reply_to"), F.coalesce(F.size("path"), F.lit(0)).alias("depth"), F.coalesce("path", F.array().cast(paths.schema["path"].dataType)).alias(path))
     place = materialise(place, "reply-order")
     lines = _lines(F.col("text"))
     extra = [c for c in messages.columns if c not in ("conv_id", "turn", "role", "text")]
-    out = messages.join(place, messages["conv_id"].eqNullSafe(place["_c"]) & (messages["turn"] == place["_t"]), "left")
+    out = messages.join(place, messages["conv_id"].eqNullSafe(place[at_conv]) & (messages["turn"] == place[at_turn]), "left")
     plain = ~F.coalesce(F.col("text"), F.lit("")).contains(">")
     own = F.when(plain, F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).otherwise(without_quotes(lines))
-    out = out.select("conv_id", "turn", "role", "reply_to", F.coalesce("depth", F.lit(0)).alias("depth"), own.alias("text"), F.when(plain, 0).otherwise(F.size(F.filter(lines, lambda x: x["level"] > 0))).alias("n_quote_lines"), *[F.col(quoted(c)) for c in extra], "_path")
-    return out.repartitionByRange("conv_id", "_path", "turn").sortWithinPartitions("conv_id", "_path", "turn").drop("_path")
+    out = out.select("conv_id", "turn", "role", "reply_to", F.coalesce("depth", F.lit(0)).alias("depth"), own.alias("text"), F.when(plain, 0).otherwise(F.size(F.filter(lines, lambda x: x["level"] > 0))).alias("n_quote_lines"), *[F.col(quoted(c)) for c in extra], path)
+    return out.repartitionByRange("conv_id", path, "turn").sortWithinPartitions("conv_id", path, "turn").drop(path)
 
 
 def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
