@@ -24,6 +24,8 @@ SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 2.0), (1.0, 1.0)), ((0.0, 1.0), (0
 #: Documents that a range of the order within a source aims at; one task sums one range.
 RANGE_ROWS = 4096
 BROADCAST_ROWS = 100_000
+#: Documents whose places (some 50 bytes each) are broadcast at most.
+BROADCAST_DOCS = 500_000
 
 
 def words(text: str = "text") -> Column:
@@ -117,7 +119,9 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     placed = materialise(curriculum(slim).filter("taken > 0"), "mix-placed")
     key, times, at = free_name(docs, "_mix_id"), free_name(docs, "_mix_times"), free_name(docs, "_mix_at")
     times_col = F.filter(F.array(F.when(2 * F.least(F.col("taken"), F.col("size")) >= F.col("size"), F.col("position")), F.when(2 * (F.col("taken") - F.col("size")) >= F.col("size"), F.col("position_again"))), lambda x: x.isNotNull())
-    chosen = placed.groupBy(F.col("doc_id").alias(key)).agg(F.max(times_col).alias(times))
+    # as a broadcast, whole texts travel once, to their places in training order; beyond the bound they are shuffled twice
+    chosen = materialise(placed.groupBy(F.col("doc_id").alias(key)).agg(F.max(times_col).alias(times)), "mix-chosen")
+    chosen = small_side(chosen, BROADCAST_DOCS)
     joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[key])).withColumn(at, F.explode(times))
     return joined.repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id").select(*docs.columns)
 

@@ -97,7 +97,7 @@ def brute_replies(rows):
 def test_replies_match_brute_force(spark):
     frame = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string")
     rows = quotes.reply_order(cases.clashing(frame, "reply_to", "path", "extra")).collect()
-    assert len(rows) == len(MESSAGES) and {"_reply_to", "_path", "extra"} <= set(rows[0].asDict())
+    assert len(rows) == len(MESSAGES) and {"_reply_to", "path", "extra"} <= set(rows[0].asDict())
     want = brute_replies(MESSAGES)
     assert {(r.conv_id, r.turn): r.reply_to for r in rows} == want
     place = {(r.conv_id, r.turn): i for i, r in enumerate(rows)}
