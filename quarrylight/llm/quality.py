@@ -22,7 +22,7 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 #: Base rule: too few words, or too many of them in repeated three-word windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Measures in thousandths and their least distance from the median that counts as far.
-MARGINS = {"symbols": 50, "dup_lines": 250, "repeats": 200}
+MARGINS = {"symbols": 50, "dup_lines": 500, "repeats": 300}
 #: A document is far above the usual beyond the median plus this many times (75th percentile less median).
 SPREADS = 4
 #: Sketches of fewer documents are merged: those of a source's languages into one per language, those into one.
