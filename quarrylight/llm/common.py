@@ -17,7 +17,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Words as a Java and DuckDB regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the numpy kernels hold at once (one document at least).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
