@@ -11,8 +11,6 @@ from quarrylight.functions.text import basename, strip
 MOST_CHARS = 1_000_000
 RESERVE = 5
 CHUNK_TOKENS = 512
-#: Lines beyond which the fold of lines would copy too much: such files are cut by the vectorised reader.
-FOLD_LINES = 2_000
 
 
 def should_chunk(path: Column, content: Column) -> Column:

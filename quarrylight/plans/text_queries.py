@@ -256,7 +256,7 @@ def format_lookup_text(spark, sf_dir):
     return tools.format_matches(_matches(spark, sf_dir, [TAG]), asked(spark))
 
 
-@query(f"WITH {_matches_sql('')} SELECT query, ord, id AS symbol_id, path, start_line, end_line, signature, NULL AS error FROM matches WHERE query IN ('ation_1', 'AsIa')")
+@query(f"WITH {_matches_sql('')} SELECT query, ord, id AS symbol_id, path, start_line, end_line, signature, CAST(NULL AS VARCHAR) AS error FROM matches WHERE query IN ('ation_1', 'AsIa')")
 def lookup_tool_response(spark, sf_dir):
     wanted = asked(spark).filter(F.col("query").isin("ation_1", "AsIa"))
     return tools.lookup_response(_matches(spark, sf_dir, None).filter(F.col("query").isin("ation_1", "AsIa")), wanted)

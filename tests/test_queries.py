@@ -18,7 +18,7 @@ def tidy(frame, columns):
     def cell(v):
         if hasattr(v, "__len__") and not isinstance(v, str):
             return repr([cell(x) for x in v])
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("NaT", "<NA>", "nan", "None"):
             return None
         return str(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
