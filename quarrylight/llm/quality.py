@@ -23,7 +23,8 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Measures in thousandths and their least distance from the median that counts as far.
 MARGINS = {"symbols": 50, "dup_lines": 500, "repeats": 300}
-#: A document is far above the usual beyond the median plus this many times (75th percentile less median).
+#: A document is far above the usual beyond the median plus this many times (median less 25th percentile): junk above
+#: the median of a group, up to half of it, can't widen that spread.
 SPREADS = 4
 #: Sketches of fewer documents are merged: those of a source's languages into one per language, those into one.
 LEAST_DOCS = 200
@@ -131,9 +132,9 @@ def thresholds(counted: DataFrame) -> DataFrame:
         merged = sketch.groupBy(*level, "measure", "value").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*level, "measure")
         upto = merged.withColumn("upto", F.sum("n").over(w.orderBy("value"))).withColumn("all", F.sum("n").over(w))
-        q = upto.groupBy(*level, "measure").agg(F.max("all").alias("docs"), F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("value"))).alias("q50"), F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("value"))).alias("q75"))
+        q = upto.groupBy(*level, "measure").agg(F.max("all").alias("docs"), F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("value"))).alias("q50"), F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("value"))).alias("q25"))
         margin = F.create_map(*[x for k, v in MARGINS.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-        fence = F.col("q50") + F.greatest(margin[F.col("measure")], SPREADS * (F.col("q75") - F.col("q50")))
+        fence = F.col("q50") + F.greatest(margin[F.col("measure")], SPREADS * (F.col("q50") - F.col("q25")))
         wide = q.groupBy(*level).agg(F.max("docs").alias(f"{tag}_docs"), *[F.max(F.when(F.col("measure") == k, fence)).alias(f"{tag}_{k}") for k in MARGINS])
         return wide.select(*[F.col(c).alias(f"{tag}_{c}") for c in level], *wide.columns[len(level) :])
 
@@ -176,6 +177,7 @@ def op10_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Takes the spread above the median, so it holds for tables where MARGINS exceed either spread, as in the given ones.
 def _sql_fence(level: str, tag: str) -> str:
     by = f"{level}," if level else ""
     return f"""{tag}_u AS (

@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 import zlib
 
@@ -129,3 +130,17 @@ def test_unusual_documents_go_and_usual_ones_stay(spark):
     kept = {r.doc_id for r in quality.keep_usual(cases.clashing(docs.union(junk), "n_words", "kept")).collect()}
     assert kept == set(range(80))
     assert quality.keep_usual(cases.empty(spark)).count() == 0
+
+
+def test_a_source_that_is_40_percent_junk_loses_its_junk(spark):
+    r = random.Random(8)
+    symbols = lambda: " ".join(f"{w}***" for w in cases.words(r, 80).split(" "))
+    lines = lambda: "\n".join([cases.words(r, 60), *r.choices([f"line{k}" for k in range(12)], k=40)])
+    repeats = lambda: " ".join([p := cases.words(r, 20), cases.words(r, 60), p])
+    rows = []
+    for s, junk in (("symbols", symbols), ("lines", lines), ("repeats", repeats)):
+        rows += [(1000 + len(rows) + k, cases.words(r, 80), "en", s, 1) for k in range(120)]
+        rows += [(-1000 - len(rows) - k, junk(), "en", s, 1) for k in range(80)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    assert not quality.annotate(docs).filter(quality.base_failed()).count()
+    assert sorted(x.doc_id for x in quality.keep_usual(docs).collect()) == sorted(i for i, *_ in rows if i > 0)
