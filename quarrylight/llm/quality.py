@@ -1,7 +1,8 @@
 """Quality rules with adaptive thresholds.
 
 The words, symbols and repeats of every whole text are counted; mergeable quantile sketches per language and source
-learn what is usual there, and documents far above the usual are rejected. No cutoff of the adaptive part is fixed.
+learn what is usual there, and documents far above the usual are rejected. What counts as far is at least a fixed margin
+(MARGINS), chosen by the labels of the given tables; there it decides every fence.
 """
 
 from __future__ import annotations
