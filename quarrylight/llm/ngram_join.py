@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from quarrylight.llm.bpe import ranges
 from quarrylight.llm.common import Spans, free_name, materialise, mix, slices, small_side, string_buffers, word_spans
 from quarrylight.llm.components import components
+from quarrylight.llm.exact_dedup import _raw
 
 WORDS = 5
 #: Similarity 0.8 as a ratio of whole numbers.
@@ -126,23 +127,23 @@ def chosen_paths(sets: np.ndarray, ptr: np.ndarray, reps: int, depth: int = DEPT
 
 
 def summaries(docs: DataFrame, text: str, reps: int, seed: int) -> DataFrame:
-    """(doc_id, n shingles, f1, f2, leaf keys, sketch) of each document."""
+    """(doc_id, raw, n shingles, f1, f2, leaf keys, sketch) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = string_buffers(batch.column(1))
+            buf, offs = string_buffers(batch.column(2))
             for a, b in slices(offs):
                 sets, ptr = shingle_sets(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 f1, f2 = fingerprints(sets, ptr, seed)
                 keys, ends = chosen_paths(sets, ptr, reps)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(ptr)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64))), pa.array([x.tobytes() for x in sketches(sets, ptr)], pa.binary())],
-                    ["doc_id", "n", "f1", "f2", "keys", "sketch"],
+                    [*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(np.diff(ptr)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64))), pa.array([x.tobytes() for x in sketches(sets, ptr)], pa.binary())],
+                    ["doc_id", "raw", "n", "f1", "f2", "keys", "sketch"],
                 )
 
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-    return docs.select("doc_id", F.col(text)).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("raw", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    return docs.select("doc_id", _raw(text), F.col(text)).mapInArrow(run, schema)
 
 
 def find(parent: np.ndarray, x: int) -> int:
@@ -301,22 +302,24 @@ def join_sets(docs: DataFrame, chosen: DataFrame, text: str, seed: int) -> DataF
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, and f1, the fingerprint of its shingle set.
+    """One row per document: doc_id, class_id, n_links, raw and kept.
 
     Two documents are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more; links are
     tested on whole sets, and n_links counts the documents linked with this one. class_id is the least doc_id of the
     documents that links connect. Documents with equal sets are one class and are not compared with each other. Words
     are what white space parts; a document of one to four words is one shingle of all its words; one without words (null
-    too) has no links and is a class of its own. Rows that repeat a doc_id count as documents. Other columns are not
-    read; an empty table gives an empty table.
+    too) has no links and is a class of its own. Rows that repeat a doc_id count as documents; raw tells those with other
+    texts apart. kept says which row stands for its class: the one with the least doc_id (null last), of several texts
+    with it the one with the least raw; rows with the same doc_id and text share it. Other columns are not read; an empty
+    table gives an empty table.
     """
     reps = repetitions(recall=recall)
     plain = docs.select("doc_id", F.col(text).alias("text"))
     seed = SEED
     while True:
         all_rows = materialise(summaries(plain, "text", reps, seed), "sets")
-        rep = F.min("doc_id").alias("rep")
-        classes = materialise(all_rows.filter("n > 0").groupBy("f1").agg(rep, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min("f2").alias("lo"), F.max("f2").alias("hi")), "classes")
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("raw").alias("r"))).alias("best")
+        classes = materialise(all_rows.filter("n > 0").groupBy("f1").agg(best, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min("f2").alias("lo"), F.max("f2").alias("hi")).withColumn("rep", F.col("best.d")), "classes")
         if not classes.filter("lo <> hi").limit(1).count():
             break
         seed += 1  # two sets have one fingerprint: take other fingerprints
@@ -335,22 +338,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", recall: float = RECALL)
     found = materialise(exact_links(dealt), "links")
     final = components(found.filter("edge").select(F.col("a"), F.col("b")))
     links = found.filter("NOT edge").groupBy("a").agg(F.sum("links").alias("links"))
-    named = classes.select("f1", "rep", "copies").join(final.withColumnRenamed("node", "f1"), "f1", "left").withColumn("root", F.coalesce("root", "f1"))
-    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    told = materialise(named.join(least, "root").join(links.withColumnRenamed("a", "f1"), "f1", "left").select("f1", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "told")
-    out = all_rows.select("doc_id", "f1", (F.col("n") > 0).alias("_words")).join(told, "f1", "left")
-    return out.select("doc_id", F.when(F.col("_words"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("_words"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), "f1")
+    named = classes.select("f1", "best", "copies").join(final.withColumnRenamed("node", "f1"), "f1", "left").withColumn("root", F.coalesce("root", "f1"))
+    least = named.groupBy("root").agg(F.min("best").alias("stays"))
+    told = materialise(named.join(least, "root").join(links.withColumnRenamed("a", "f1"), "f1", "left").select("f1", "stays", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "told")
+    out = all_rows.select("doc_id", "raw", "f1", (F.col("n") > 0).alias("_words")).join(told, "f1", "left")
+    mine = F.col("doc_id").eqNullSafe(F.col("stays.d")) & (F.col("raw") == F.col("stays.r"))
+    return out.select(
+        "doc_id", F.when(F.col("_words"), F.col("stays.d")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("_words"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        "raw", F.when(F.col("_words"), mine).otherwise(F.lit(True)).alias("kept"),
+    )
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The document with the least doc_id of every class, with all columns; of rows that repeat it, one."""
+    """The document with the least doc_id of every class, with all columns; of rows that repeat it, one.
+
+    Rows are told apart by doc_id and text, so ids may repeat or be null.
+    """
     told = materialise(near_duplicates(docs), "near-verdict")
-    key = free_name(docs, "_near_id")
-    gone = materialise(told.filter("NOT (doc_id <=> class_id)").select(F.col("doc_id").alias(key)).distinct(), "near-gone")
-    stay = docs.join(small_side(gone, BROADCAST_ROWS), docs["doc_id"].eqNullSafe(gone[key]), "left_anti")
-    again = told.filter("doc_id <=> class_id AND n_links > 0").groupBy("doc_id", "f1").count().filter("count > 1")
-    return stay.dropDuplicates(["doc_id"]) if again.limit(1).count() else stay
+    a, b = free_name(docs, "_near_id"), free_name(docs, "_near_raw")
+    named = [F.col("doc_id").alias(a), F.col("raw").alias(b)]
+
+    def without(rows: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+        return rows.join(small_side(keys, BROADCAST_ROWS), rows["doc_id"].eqNullSafe(keys[a]) & (_raw("text") == keys[b]), how)
+
+    stay = without(docs, materialise(told.filter("NOT kept").select(*named).distinct(), "near-gone"))
+    again = materialise(told.filter("kept AND n_links > 0").groupBy("doc_id", "raw").count().filter("count > 1").select(*named), "near-again")
+    if not again.limit(1).count():
+        return stay
+    return without(stay, again).union(without(stay, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op2_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("f1")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("raw", "kept")

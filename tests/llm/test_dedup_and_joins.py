@@ -109,6 +109,18 @@ def test_drop_near_copies_keeps_one_of_each_class(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(want)
 
 
+def test_drop_near_copies_with_repeated_and_null_ids(spark):
+    r = random.Random(6)
+    a, b, c, d, e, f, g, h, i, j, k, m = (cases.words(r, 120) for _ in range(12))
+    near = lambda t: f"{t} more"
+    rows = [(5, a), (5, b), (3, near(a)), (7, c), (None, near(c)), (None, d), (20, e), (20, e), (20, f), (30, g), (30, h), (None, i), (None, j), (None, k), (None, k), (40, m), (40, near(m)), (None, ""), (None, ""), (5, None)]
+    docs = spark.createDataFrame([(n, t, "en", "s", 1) for n, t in rows], cases.SCHEMA)
+    got = collections.Counter((x.doc_id, x.text) for x in ngram_join.drop_near_copies(docs).collect())
+    one = [x for x in ((40, m), (40, near(m))) if x in got]
+    assert len(one) == 1
+    assert got == collections.Counter([(3, near(a)), (5, b), (7, c), (None, d), (20, e), (20, f), (30, g), (30, h), (None, i), (None, j), (None, k), *one, (None, ""), (None, ""), (5, None)])
+
+
 def test_empty_tables(spark):
     docs = cases.empty(spark)
     assert exact_dedup.exact_dedup(docs).count() == 0
