@@ -76,22 +76,22 @@ def _last_before(rows: DataFrame, keys: list[str], value: str, inclusive: bool)
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, quoted): for each message with a quote that an earlier message of its conversation says.
 
-    reply_to is the turn that says the longest piece (a whole passage, or a line of one) of its outermost quotes; of
-    equally long pieces and of several turns that say one, the latest turn counts. quoted counts the pieces found.
+    Pieces are whole passages and lines of them, at all levels. reply_to is the turn that says the longest piece of the
+    outermost level of which one is found; of equally long pieces and of several turns that say one, the latest turn
+    counts. quoted counts the pieces found.
     """
     marked = messages.filter(F.col("text").contains(">")).select("conv_id", "turn", _lines(F.col("text")).alias("lines")).withColumn("passages", _passages(F.col("lines")))
-    least = F.array_min(F.transform("passages", lambda p: p["level"]))
-    outer = F.filter("passages", lambda p: p["level"] == least)
-    pieces = F.array_union(F.transform(outer, lambda p: normalised(F.array_join(p["bodies"], " "))), F.flatten(F.transform(outer, lambda p: F.transform(p["bodies"], lambda b: normalised(b)))))
-    wanted = marked.select("conv_id", "turn", F.explode(F.filter(pieces, lambda x: x != "")).alias("piece"))
-    quotes = wanted.select("conv_id", "turn", F.sha2("piece", 256).alias("hash"), F.length("piece").alias("length"), F.lit(None).cast("long").alias("said"))
+    said_at = lambda p: F.array_union(F.array(normalised(F.array_join(p["bodies"], " "))), F.transform(p["bodies"], lambda b: normalised(b)))
+    pieces = F.array_distinct(F.flatten(F.transform("passages", lambda p: F.transform(said_at(p), lambda x: F.struct(p["level"].alias("level"), x.alias("piece"))))))
+    wanted = marked.select("conv_id", "turn", F.explode(F.filter(pieces, lambda x: x["piece"] != "")).alias("p"))
+    quotes = wanted.select("conv_id", "turn", F.sha2("p.piece", 256).alias("hash"), F.col("p.level").alias("level"), F.length("p.piece").alias("length"), F.lit(None).cast("long").alias("said"))
     # what messages say: the whole of it, and every line
     quoting = quotes.select("conv_id").distinct()
     own = messages.join(quoting, "conv_id", "left_semi").select("conv_id", "turn", without_quotes(_lines(F.col("text"))).alias("own"))
     said = own.select("conv_id", "turn", F.explode(F.array_distinct(F.filter(F.concat(F.array(normalised(F.col("own"))), F.transform(F.split("own", "\n"), lambda x: normalised(x))), lambda x: x != ""))).alias("piece"))
-    said = said.select("conv_id", "turn", F.sha2("piece", 256).alias("hash"), F.lit(None).cast("int").alias("length"), F.col("turn").cast("long").alias("said"))
+    said = said.select("conv_id", "turn", F.sha2("piece", 256).alias("hash"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("length"), F.col("turn").cast("long").alias("said"))
     found = _last_before(quotes.union(said), ["conv_id", "hash"], "said", inclusive=False).filter("length IS NOT NULL AND before IS NOT NULL")
-    return found.groupBy("conv_id", "turn").agg(F.max(F.struct("length", "before"))["before"].alias("reply_to"), F.count(F.lit(1)).alias("quoted"))
+    return found.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "length", "before"))["before"].alias("reply_to"), F.count_distinct("hash").alias("quoted"))
 
 
 def branches(messages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

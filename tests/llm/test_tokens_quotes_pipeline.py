@@ -112,6 +112,12 @@ def test_replies_over_ranges_of_turns(spark, monkeypatch):
     assert {(r.conv_id, r.turn): r.reply_to for r in quotes.reply_order(frame).collect()} == brute_replies(MESSAGES)
 
 
+def test_a_nested_quote_is_found_where_the_outer_one_is_edited(spark):
+    texts = ["the original", "an answer", "something else", "> an edited answer\n> > the original\nnew", "> an answer\n> > the original\nnewer"]
+    frame = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    assert {r.turn: (r.reply_to, r.quoted) for r in quotes.link_quotes(frame.select("conv_id", "turn", "text")).collect()} == {3: (0, 1), 4: (1, 2)}
+
+
 def test_pipeline_against_brute_force(spark, tmp_path, encoding):
     import corpus_pipeline
 
