@@ -194,7 +194,7 @@ def features(found: list[Block]) -> list[list[str]]:
         f += [f"size:{size}", f"links:{dense}", f"size:{size}+links:{dense}", f"block:{inner}+size:{size}"]
         if b.text[-1] in ".!?:;\"'”»…)":
             f.append("stop")
-        if _SAYS.search(b.text[:200]) and words < 40:
+        if words < 40 and _SAYS.search(b.text):
             f.append("says")
             f.append("says+short" if words < 12 else "says+mid")
         if inner in ("h1", "h2", "h3", "h4", "h5", "h6"):

@@ -147,3 +147,9 @@ def test_pii_rows(spark, tmp_path, network):
         assert got.n_email + got.n_ip + got.n_card + got.n_phone == len(list(filter(None, got.spans.split(","))))
     assert pii.detect(cases.empty(spark)).count() == 0
     assert set(pii.detect(cases.clashing(docs, "pii")).columns) == {*docs.columns, "_pii", "pii", "pii_base"}
+
+
+def test_a_cue_behind_200_characters_counts():
+    text = " ".join(["extraordinarily"] * 14) + " all rights reserved"
+    assert len(text) > 220
+    assert "says+mid" in html_main.features([html_main.Block(text, ("p",), frozenset(), 0)])[0]
