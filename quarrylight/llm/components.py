@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import materialise
 
+#: Edges whose least neighbours are broadcast at most (16 bytes each), so a star's centre is no one task's load.
+BROADCAST_EDGES = 2_000_000
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every node's greater neighbours are tied to the least of the node and its neighbours."""
     near = _both_ways(edges)
     least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = F.broadcast(least) if few else least
     return near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every node and its lesser neighbours are tied to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     own = least.select("a", F.col("m").alias("b"))
+    least = F.broadcast(least) if few else least
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(own).distinct()
 
 
@@ -35,6 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state or not new[0]:
             break
-        state = new
-        now = materialise(small_star(large_star(now)), "cc")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        state, few = new, 2 * new[0] <= BROADCAST_EDGES
+        middle = materialise(large_star(now, few), "cc")
+        now = materialise(small_star(middle, few), "cc")
+    return materialise(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")

@@ -2,10 +2,11 @@
 
 A document is its set of five-word shingles. Every repetition grows a tree over each set: a node's children are the
 shingles that a hash seeded by the node picks, each with probability 1 / (similarity * set size), so similar sets walk
-the same paths. Sets that meet at a leaf form a bucket; large buckets are split again on further sampled shingles.
-Small buckets are brute-forced on sketches, buckets that stay large are taken as one candidate group. Candidate
-groups are then joined exactly, on whole sets, in blocks. Repetitions go on until the chance that a pair at the
-threshold meets nowhere is below 1 - RECALL.
+the same paths, and sets that meet at a leaf form a bucket. First a few edges tie what looks alike by sketches in each
+bucket, which gives candidate components. Buckets within one component are done; in the others all sets of different
+components are held against each other by sketches (very large buckets are split again on further sampled shingles), and
+components grow. Candidate components are then joined exactly, on whole sets, in blocks; only these exact links make
+classes. Repetitions go on until the chance that a pair at the threshold meets nowhere is below 1 - RECALL.
 """
 
 from __future__ import annotations
@@ -31,12 +32,17 @@ SIMILARITY = (4, 5)
 DEPTH = 3
 RECALL = 0.9998
 SEED = 7
-#: Members of a bucket that is brute-forced; shingle samples and tries of the split of larger ones.
-SMALL_BUCKET = 128
-SPLIT_SAMPLES, SPLIT_TRIES = 3, 10
-SKETCH = 64
+#: Sets of a slice in which a large bucket is dealt for its first edges; sets outside a bucket's main component that are
+#: held against a slice of twice as many; beyond SPLIT_OTHERS of them the bucket is split again first, SPLIT_TRIES times
+#: on SPLIT_SAMPLES sampled shingles, up to SPLIT_LEVELS times.
+SLICE_SETS, CHUNK_SETS, SPLIT_OTHERS = 1024, 1024, 16_384
+SPLIT_SAMPLES, SPLIT_TRIES, SPLIT_LEVELS = 3, 10, 3
+#: Cells of a sketch; sketches of sets at the threshold are so many standard deviations off at most.
+SKETCH, DEVIATIONS = 128, 4
+#: Rows that a task takes together; pairs of sketches compared at once.
+PACK_ROWS, PAIRS_AT_ONCE = 16_384, 8192
 #: Sets, and shingles, of a block of the exact join; classes that a task takes together.
-BLOCK_SETS, BLOCK_SHINGLES, PACK_SETS = 512, 1 << 20, 1024
+BLOCK_SETS, BLOCK_SHINGLES, PACK_SETS = 2048, 1 << 20, 1024
 BROADCAST_ROWS = 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
@@ -146,57 +152,142 @@ def summaries(docs: DataFrame, text: str, reps: int, seed: int) -> DataFrame:
     return docs.select("doc_id", _raw(text), F.col(text)).mapInArrow(run, schema)
 
 
-def find(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+# ---------------------------------------------------------------- sets that meet
 
 
-def roots(links: np.ndarray) -> np.ndarray:
-    """The least member of each member's component, from a matrix of links."""
-    label = np.arange(len(links))
-    near = links | np.eye(len(links), dtype=bool)
-    while True:
-        best = np.where(near, label[None, :], len(links)).min(1)
-        best = np.minimum(label, best[best])
-        if (best == label).all():
-            return label
-        label = best
+def similar(cells: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How far pairs of sketches are above the least that sets at the threshold show, DEVIATIONS below it; negative is below."""
+    share = SIMILARITY[0] / SIMILARITY[1]
+    out = np.zeros(len(i))
+    for k in range(0, len(i), PAIRS_AT_ONCE):
+        a, b = cells[i[k : k + PAIRS_AT_ONCE]], cells[j[k : k + PAIRS_AT_ONCE]]
+        same = ((a == b) & (a > 0)).sum(1)
+        either = np.maximum(((a > 0) | (b > 0)).sum(1), 1)
+        out[k : k + PAIRS_AT_ONCE] = same / either - (share - DEVIATIONS * np.sqrt(share * (1 - share) / either))
+    return out
 
 
-def forest(buckets: DataFrame) -> DataFrame:
-    """Rows (members, sketches) of small buckets to edges (a, b) that span what is similar by sketch."""
+def _members(table: pa.Table, *by: str) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(columns sorted by ``by``, sketches, starts of the groups that all but the last of ``by`` make)."""
+    cols = {c: np.asarray(table[c].combine_chunks()) for c in table.column_names if c != "sketch"}
+    order = np.lexsort([cols[c] for c in reversed(by)])
+    raw, _ = string_buffers(table["sketch"])
+    cells = np.frombuffer(raw.tobytes(), np.uint16).reshape(-1, SKETCH)[order]
+    cols = {k: v[order] for k, v in cols.items()}
+    new = np.ones(len(order), bool)
+    for c in by[:-1]:
+        new[1:] &= cols[c][1:] == cols[c][:-1]
+    new[1:] = ~new[1:]
+    return cols, cells, np.flatnonzero(new)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [], []
-            for row in batch.column(0).to_pylist():
-                names = np.array([x["f1"] for x in row], np.int64)
-                cells = np.frombuffer(b"".join(x["sketch"] for x in row), np.uint16).reshape(len(row), SKETCH)
-                both = (cells[:, None] == cells[None, :]) & (cells > 0)[:, None]
-                either = ((cells > 0)[:, None] | (cells > 0)[None, :]).sum(2)
-                share = SIMILARITY[0] / SIMILARITY[1]
-                near = both.sum(2) >= (share - 5 * np.sqrt(share * (1 - share) / np.maximum(either, 1))) * either
-                root = roots(near)
-                off = np.flatnonzero(root != np.arange(len(root)))
-                left.append(names[root[off]])
-                right.append(names[off])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return buckets.mapInArrow(run, "a long, b long")
+
+def leaders(members: DataFrame) -> DataFrame:
+    """Slices of buckets (pack, key, slice, f1, sketch) to edges (a, b) of sets that may be similar.
+
+    The least set of a slice leads all that look like it, the least of the others leads again, and so on.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        cols, cells, starts = _members(table, "key", "slice", "f1")
+        name = cols["f1"]
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(name))))
+        left, found = np.arange(len(name)), []
+        while len(left):
+            first = np.ones(len(left), bool)
+            first[1:] = group[left[1:]] != group[left[:-1]]
+            lead = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
+            hit = ~first & (name[lead] != name[left])
+            hit[hit] = similar(cells, lead[hit], left[hit]) >= 0
+            found.append((name[lead[hit]], name[left[hit]]))
+            left = left[~first & ~hit]
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": a, "b": b})
+
+    return members.groupBy("pack").applyInArrow(run, "a long, b long")
+
+
+def _bits(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One bit of each cell of sketches, and which cells are filled, as 64-bit words."""
+    return tuple(np.packbits(x, axis=1).view(np.uint64) for x in ((cells & 1).astype(bool), cells > 0))
+
+
+def _look_alike(cells: np.ndarray, bits: np.ndarray, full: np.ndarray, i: np.ndarray, j: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of i and j of different roots that may be similar: by one bit of each cell first, then by the cells."""
+    share = SIMILARITY[0] / SIMILARITY[1]
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, (1 << 18) // max(1, len(j)))
+    for k in range(0, len(i), step):
+        rows = i[k : k + step]
+        agree, both, either = (np.zeros((len(rows), len(j)), np.float32) for _ in range(3))
+        for w in range(bits.shape[1]):
+            fr, fc = full[rows, w][:, None], full[j, w][None, :]
+            shared = fr & fc
+            both += np.bitwise_count(shared)
+            either += np.bitwise_count(fr | fc)
+            agree += np.bitwise_count(~(bits[rows, w][:, None] ^ bits[j, w][None, :]) & shared)
+        # cells that differ agree in the bit half of the time
+        near = 2 * agree - both >= share * either - DEVIATIONS * np.sqrt((1 - share * share) * either)
+        near &= root[rows][:, None] != root[j][None, :]
+        a, b = np.nonzero(near)
+        a, b = rows[a], j[b]
+        good = similar(cells, a, b) >= 0
+        one.append(a[good])
+        two.append(b[good])
+    return np.concatenate(one), np.concatenate(two)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least member of each member's component, from links (a, b) of members 0 to n - 1."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+        if (label == before).all():
+            break
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    while (label != label[label]).any():
+        label = label[label]
+    return label
+
+
+def across(members: DataFrame) -> DataFrame:
+    """(pack, key, chunk, slice, f1, root, side, sketch) to edges (a, b) that tie all pairs of different roots that may be similar.
+
+    Rows of side 0 are the chunk of a bucket's sets outside its main component, those of side 1 the slice of all its sets.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        cols, cells, starts = _members(table, "key", "chunk", "slice", "side", "f1")
+        starts = np.flatnonzero(np.concatenate([[True], np.any([cols[c][1:] != cols[c][:-1] for c in ("key", "chunk", "slice")], axis=0)])) if len(cells) else starts
+        bits, full = _bits(cells)
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(cells)).tolist(), strict=True):
+            mid = a + int(np.searchsorted(cols["side"][a:b], 1))
+            i, j = _look_alike(cells, bits, full, np.arange(a, mid), np.arange(mid, b), cols["root"])
+            if len(i):
+                names, node = np.unique(cols["f1"][a:b], return_inverse=True)
+                label = _forest(node[i - a], node[j - a], len(names))
+                off = np.flatnonzero(label != np.arange(len(names)))
+                one.append(names[label[off]])
+                two.append(names[off])
+        return pa.table({"a": np.concatenate(one), "b": np.concatenate(two)})
+
+    return members.groupBy("pack").applyInArrow(run, "a long, b long")
 
 
 def split_again(members: DataFrame) -> DataFrame:
-    """(key, f1, sketch) of large buckets to (key, f1): what agrees in SPLIT_SAMPLES sampled shingles, SPLIT_TRIES times."""
+    """(key, f1, root, sketch) of large buckets to (key, f1, root): what agrees in SPLIT_SAMPLES sampled shingles, SPLIT_TRIES times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = np.asarray(batch.column(0)).view(np.uint64)
-            raw, _ = string_buffers(batch.column(2))
+            raw, _ = string_buffers(batch.column(3))
             cells = np.frombuffer(raw.tobytes(), np.uint16).reshape(len(key), SKETCH)
             found = []
             for t in range(SPLIT_TRIES):
@@ -206,41 +297,75 @@ def split_again(members: DataFrame) -> DataFrame:
                     pick = mix(pick + np.uint64(s + 1))
                     new = mix(new * _ODD[4] + cells[np.arange(len(key)), (pick % np.uint64(SKETCH)).astype(np.int64)])
                 found.append(new)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.tile(np.asarray(batch.column(1)), SPLIT_TRIES))], ["key", "f1"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *(pa.array(np.tile(np.asarray(batch.column(c)), SPLIT_TRIES)) for c in (1, 2))], ["key", "f1", "root"])
+
+    return members.select("key", "f1", "root", "sketch").mapInArrow(run, "key long, f1 long, root long")
 
-    return members.select("key", "f1", "sketch").mapInArrow(run, "key long, f1 long")
 
+def _packed(rows: DataFrame, by: list[str], total: int) -> DataFrame:
+    return rows.withColumn("pack", F.pmod(F.xxhash64(*by), F.lit(max(1, total // PACK_ROWS))))
 
-def counted(members: DataFrame, name: str) -> DataFrame:
-    """(key, f1, in_bucket) of the buckets with two members or more, materialised."""
-    sizes = materialise(members.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1"), f"{name}-sizes")
-    return materialise(members.join(small_side(sizes, BROADCAST_ROWS), "key"), name)
 
+def shared_leaves(classes: DataFrame) -> DataFrame:
+    """(key, f1, in_bucket, least) of the leaves where two sets or more meet; least is the first set of the bucket."""
+    rows = classes.select("f1", F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket"), F.min("f1").alias("least")).filter("in_bucket > 1")
+    return materialise(rows.join(small_side(materialise(sizes, "leaves"), BROADCAST_ROWS), "key"), "met")
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components hold every pair of classes that met at a leaf and may be similar."""
-    met = counted(classes.select("f1", F.explode("keys").alias("key")).distinct(), "met")
-    large = met.filter(F.col("in_bucket") > SMALL_BUCKET)
-    split = counted(split_again(large.join(classes.select("f1", "sketch"), "f1")).distinct(), "met-again")
-    small = met.filter(F.col("in_bucket") <= SMALL_BUCKET).select("key", "f1").union(split.filter(F.col("in_bucket") <= SMALL_BUCKET).select("key", "f1"))
-    lists = small.groupBy("key").agg(F.sort_array(F.collect_list("f1")).alias("members")).select("members").distinct()
-    lists = materialise(lists, "buckets")
-    rows = lists.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("f1")).join(classes.select("f1", "sketch"), "f1")
-    buckets = rows.groupBy("bucket").agg(F.collect_list(F.struct("f1", "sketch")).alias("members")).select("members")
-    dense = split.filter(F.col("in_bucket") > SMALL_BUCKET)
-    hub = dense.groupBy("key").agg(F.min("f1").alias("a"))
-    star = dense.join(hub, "key").filter("a <> f1").select("a", F.col("f1").alias("b"))
-    return forest(buckets).union(star).distinct()
+
+def first_edges(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that tie the sets of every bucket that look alike; a large bucket is dealt into slices that share its first set."""
+    slices = F.ceil(F.col("in_bucket") / SLICE_SETS).cast("int")
+    mine = F.when(F.col("f1") == F.col("least"), F.sequence(F.lit(0), slices - 1)).otherwise(F.array(F.pmod(F.xxhash64("f1"), slices).cast("int")))
+    dealt = met.join(classes.select("f1", "sketch"), "f1").select("key", "f1", "sketch", F.explode(mine).alias("slice"))
+    return leaders(_packed(dealt, ["key", "slice"], met.count())).distinct()
+
+
+def rooted(nodes: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """nodes with the root of their f1 so far, which is itself where it has no edge."""
+    return materialise(nodes.join(small_side(roots.withColumnRenamed("node", "f1"), BROADCAST_ROWS), "f1", "left").withColumn("root", F.coalesce("root", "f1")), name)
+
+
+def other_edges(met: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges (a, b) that tie all sets that meet, are not in one component yet, and may be similar.
+
+    Buckets inside one component have nothing to add and are left out. The sets outside a bucket's main component are held
+    against all its sets, in chunks and slices; where they are very many, the bucket is split again first.
+    """
+    rows, found = rooted(met.select("key", "f1"), roots, "met-roots"), None
+    for level in range(SPLIT_LEVELS + 1):
+        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("total"), F.max(F.struct("n", "root")).alias("main")).filter("roots > 1")
+        mixed = materialise(mixed.select("key", "total", F.col("main.root").alias("main"), (F.col("total") - F.col("main.n")).alias("others")), "mixed")
+        large = F.col("others") > SPLIT_OTHERS
+        deeper = level < SPLIT_LEVELS and bool(mixed.filter(large).limit(1).count())
+        whole = rows.join(small_side(mixed, BROADCAST_ROWS), "key").join(classes.select("f1", "sketch"), "f1")
+        near = whole.filter(~large) if deeper else whole
+        chunks, slices = F.ceil(F.col("others") / CHUNK_SETS).cast("int"), F.ceil(F.col("total") / (2 * CHUNK_SETS)).cast("int")
+        at = lambda n, seed: F.pmod(F.xxhash64("f1", F.lit(seed)), n).cast("int")
+        every = lambda n: F.sequence(F.lit(0), n - 1)
+        place = lambda side, chunk, slice_: F.struct(F.lit(side).alias("side"), chunk.alias("chunk"), slice_.alias("slice"))
+        as_member = F.transform(every(chunks), lambda c: place(1, c, at(slices, 2)))
+        as_other = F.when(F.col("root") == F.col("main"), F.array().cast(T.ArrayType(T.StructType([T.StructField("side", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("slice", T.IntegerType())])))).otherwise(F.transform(every(slices), lambda x: place(0, at(chunks, 1), x)))
+        dealt = near.select("key", "f1", "root", "sketch", F.explode(F.concat(as_member, as_other)).alias("p")).select("key", "f1", "root", "sketch", "p.*")
+        total = mixed.agg(F.sum("total")).first()[0] or 0
+        pairs = across(_packed(dealt, ["key", "chunk", "slice"], total))
+        found = pairs if found is None else found.union(pairs)
+        if not deeper:
+            return materialise(found.distinct(), "other-edges")
+        again = split_again(whole.filter(large)).distinct()
+        rows = materialise(again, "met-again")
+    raise AssertionError("the last level is never split")
 
 
 def exact_links(members: DataFrame) -> DataFrame:
-    """(part, i, j, side, f1, copies, sh) to rows (a, b, links): b null and links of a, or a spanning edge with links 0.
+    """(part, i, j, side, f1, copies, sh) to rows (a, b, edge, links): the links of a, or an edge (a, b) of those that span them.
 
     part, i, j name a candidate group and a pair of its blocks; side is the block a set stands for.
     """
     p, q = SIMILARITY
 
-    def one(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def one(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
         names, copies = frame["f1"].to_numpy(np.int64), frame["copies"].to_numpy(np.int64)
         arrays = list(frame["sh"])
@@ -256,7 +381,7 @@ def exact_links(members: DataFrame) -> DataFrame:
         right = (frame["side"] == j).to_numpy()
         la, ra = np.flatnonzero(left), np.flatnonzero(right)
         inter = np.zeros((len(la), len(ra)), np.float32)
-        width, columns = 4096, int((seen > 1).sum())
+        width, columns = 1024, int((seen > 1).sum())
         for c in range(0, columns, width):
             lo, hi = np.searchsorted(col, [c, c + width])
             x = np.zeros((len(arrays), min(width, columns - c)), np.float32)
@@ -265,15 +390,15 @@ def exact_links(members: DataFrame) -> DataFrame:
         inter = np.rint(inter).astype(np.int64)
         links = (p + q) * inter >= p * (size[la][:, None] + size[ra][None, :])
         links &= names[la][:, None] != names[ra][None, :]
-        out = [(names[la], np.full(len(la), -1), links @ copies[ra])]
+        zero = np.zeros(len(la), np.int64)
+        out = [(names[la], zero, zero > 0, links @ copies[ra])]
         if i != j:
-            out.append((names[ra], np.full(len(ra), -1), links.T @ copies[la]))
-        whole = np.zeros((len(arrays), len(arrays)), bool)
-        whole[np.ix_(la, ra)] = links
-        root = roots(whole | whole.T)
+            zero = np.zeros(len(ra), np.int64)
+            out.append((names[ra], zero, zero > 0, links.T @ copies[la]))
+        x, y = np.nonzero(links)
+        root = _forest(la[x], ra[y], len(arrays))
         off = np.flatnonzero(root != np.arange(len(root)))
-        out.append((names[off], root[off], np.zeros(len(off), np.int64)))
-        return [(a, np.where(b < 0, 0, names[np.maximum(b, 0)]), b >= 0, c) for a, b, c in out]
+        return [*out, (names[off], names[root[off]], np.ones(len(off), bool), np.zeros(len(off), np.int64))]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         found = [x for _, group in frame.groupby("part", sort=False) for x in one(group)]
@@ -283,8 +408,8 @@ def exact_links(members: DataFrame) -> DataFrame:
     return members.groupBy("pack", "i", "j").applyInPandas(run, "a long, b long, edge boolean, links long")
 
 
-def join_sets(docs: DataFrame, chosen: DataFrame, text: str, seed: int) -> DataFrame:
-    """(f1, ..., sh) of the chosen classes: the sorted shingles of the document that stands for each."""
+def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, text: str, seed: int) -> DataFrame:
+    """(f1, sh) of the wanted (f1) classes: the sorted shingles of the document that stands for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,9 +421,9 @@ def join_sets(docs: DataFrame, chosen: DataFrame, text: str, seed: int) -> DataF
                 right = pa.array(f1.view(np.int64) == np.asarray(batch.column(0).slice(a, b - a)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["f1", "sh"]).filter(right)
 
-    ids = small_side(chosen.select(F.col("rep").alias("_rep"), "f1"), BROADCAST_ROWS)
+    ids = small_side(materialise(classes.join(wanted, "f1", "left_semi").select(F.col("rep").alias("_rep"), "f1"), "wanted"), BROADCAST_ROWS)
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_rep"])).select("f1", F.col(text))
-    return texts.mapInArrow(run, "f1 long, sh array<long>").dropDuplicates(["f1"]).join(chosen, "f1")
+    return texts.mapInArrow(run, "f1 long, sh array<long>").dropDuplicates(["f1"])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", recall: float = RECALL) -> DataFrame:
@@ -323,20 +448,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", recall: float = RECALL)
         if not classes.filter("lo <> hi").limit(1).count():
             break
         seed += 1  # two sets have one fingerprint: take other fingerprints
-    groups = components(materialise(candidate_edges(classes), "edges"))
-    sized = groups.join(classes.select("f1", "rep", "copies", "n"), groups["node"] == F.col("f1")).select("f1", "rep", "copies", "n", "root")
+    met = shared_leaves(classes)
+    roots = components(materialise(first_edges(met, classes), "edges"))
+    others = other_edges(met, classes, roots)
+    if others.limit(1).count():
+        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(others))
+    sized = roots.withColumnRenamed("node", "f1").join(classes.select("f1", "copies", "n"), "f1")
     blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    chosen = materialise(sized.join(blocks, "root"), "chosen")
-    sets = join_sets(plain, chosen, "text", seed)
+    chosen = materialise(sized.drop("n").join(blocks, "root"), "chosen")
     packs = max(1, chosen.count() // PACK_SETS)
+    sets = whole_sets(plain, classes, chosen.select("f1"), "text", seed)
     mine = F.pmod(F.xxhash64("f1", F.lit(1)), "blocks").cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.withColumn("side", mine).withColumn("x", other).select(
+    dealt = sets.join(chosen, "f1").withColumn("side", mine).withColumn("x", other).select(
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.col("root")).alias("pack"), F.col("root").alias("part"),
         F.least("side", "x").alias("i"), F.greatest("side", "x").alias("j"), "side", "f1", "copies", "sh",
     )
     found = materialise(exact_links(dealt), "links")
-    final = components(found.filter("edge").select(F.col("a"), F.col("b")))
+    final = components(found.filter("edge").select("a", "b"))
     links = found.filter("NOT edge").groupBy("a").agg(F.sum("links").alias("links"))
     named = classes.select("f1", "best", "copies").join(final.withColumnRenamed("node", "f1"), "f1", "left").withColumn("root", F.coalesce("root", "f1"))
     least = named.groupBy("root").agg(F.min("best").alias("stays"))

@@ -80,10 +80,10 @@ def brute_near(rows):
     return {i: (top(i), links[i]) for i, _ in sets}
 
 
-@pytest.mark.parametrize("small, block", [(128, 512), (3, 4)])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, small, block):
-    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", small)
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+@pytest.mark.parametrize("sizes", [{}, {"SLICE_SETS": 3, "CHUNK_SETS": 2, "BLOCK_SETS": 4}, {"SLICE_SETS": 2, "CHUNK_SETS": 1, "SPLIT_OTHERS": 1, "SPLIT_LEVELS": 1}])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, sizes):
+    for k, v in sizes.items():
+        monkeypatch.setattr(ngram_join, k, v)
     docs = cases.documents(spark)
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs).collect()}
     assert got == brute_near(docs.collect())
