@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,75 +28,120 @@ BLOCK_TAGS = frozenset(
     "hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style template textarea title noscript svg math object canvas audio video".split())
+RAW_TAGS = frozenset("script style template textarea title".split())
 #: Elements that an open paragraph ends before, and open elements that another of their kind ends.
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+@dataclass(frozen=True, slots=True)
+class Place:
+    """Where a block stands: the innermost tag and block-level tag, and what all ancestors together have of the tags and
+    of the class and id words that features ask for."""
+
+    tag: str = ""
+    inner: str = ""
+    above: frozenset[str] = frozenset()
+    kinds: frozenset[str] = frozenset()
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
-    words: frozenset[str]
+    place: Place
     linked: int  # characters inside links
 
 
+class _Stack:
+    """The open elements. The places of every tag's open elements are kept, so that no search walks the stack."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.places: list[Place] = [Place()]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # of block-level elements other than paragraphs
+
+    def last(self, tag: str) -> int:
+        return self.at[tag][-1] if self.at.get(tag) else -1
+
+    def push(self, tag: str, kinds: frozenset[str]) -> None:
+        up, k = self.places[-1], len(self.tags)
+        self.tags.append(tag)
+        self.at.setdefault(tag, []).append(k)
+        if tag in BLOCK_TAGS and tag != "p":
+            self.blocks.append(k)
+        above = up.above | {tag} if tag in _ABOVE and tag not in up.above else up.above
+        self.places.append(Place(tag, tag if tag in BLOCK_TAGS else up.inner, above, up.kinds if kinds <= up.kinds else up.kinds | kinds))
+
+    def pop(self, k: int) -> None:
+        """Closes the element at k and those inside it."""
+        while len(self.tags) > k:
+            tag = self.tags.pop()
+            self.places.pop()
+            self.at[tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.tags):
+                self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        k = self.last(tag)
+        # an inline end tag does not close blocks
+        if k >= 0 and (tag in BLOCK_TAGS or max(self.blocks[-1] if self.blocks else -1, self.last("p")) <= k):
+            self.pop(k)
+
+    def begin(self, tag: str) -> None:
+        """Closes what a block-level start tag ends."""
+        if tag in _SELF_CLOSING:
+            floor = max((self.last(t) for t in _SCOPES[tag]), default=-1)
+            found = [self.at[t][bisect_right(self.at[t], floor)] for t in _SELF_CLOSING[tag] if self.last(t) > floor]
+            if found:
+                self.pop(min(found))
+        p = self.last("p")
+        if tag not in ("button", "iframe") and p > (self.blocks[-1] if self.blocks else -1):
+            self.pop(p)
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page that have text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = _Stack()
     parts: list[str] = []
-    links, linked, at, n = 0, 0, 0, len(page)
+    linked, at, n = 0, 0, len(page)
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                words = frozenset().union(*(w for _, w in stack)) if stack else frozenset()
-                out.append(Block(text, tuple(t for t, _ in stack), words, linked))
+                out.append(Block(text, stack.places[-1], linked))
             parts.clear()
         linked = 0
 
-    def pop(k: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
-
     def put(text: str) -> None:
         nonlocal linked
         parts.append(text)
-        if links:
+        if stack.at.get("a"):
             linked += len(text)
 
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
-            put(page[at : m.start()])
+            put(html.unescape(page[at : m.start()]))
         at = m.end()
-        if at == m.start():
-            break
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
-                put(html.escape(m[0][9:-3]))
+                put(m[0][9:].removesuffix("]]>"))
             continue
-        if m[1] or m[4]:
+        if m[1]:
             if tag in BLOCK_TAGS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] in BLOCK_TAGS and tag not in BLOCK_TAGS:
-                    break  # an inline end tag does not close blocks
+            stack.end(tag)
             continue
         if tag in RAW_TAGS:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            if not (m[3] or m[6] or "").rstrip().endswith("/"):
+            if not m[3].rstrip().endswith("/"):
                 at = end.end() if end else n
             continue
         if tag == "br":
@@ -103,39 +149,30 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                t = stack[k][0]
-                if t == "p" and tag not in ("button", "iframe") or t in _SELF_CLOSING.get(tag, ()):
-                    pop(k)
-                    if t != "p":
-                        continue
-                    break
-                if t in _SCOPES.get(tag, ()) or t in BLOCK_TAGS and t != "p" and tag not in _SELF_CLOSING:
-                    break
-        if tag in VOID_TAGS:
-            continue
-        attributes = m[3] or m[6] or ""
-        words: frozenset[str] = frozenset()
-        if attributes:
-            found = set()
-            for name, value in _NAMES.findall(attributes):
-                low = name.lower()
-                if low == "style":
-                    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                        found.add("hidden")
-                elif low == "hidden" or low == "aria-hidden":
-                    found.add("hidden") if low == "hidden" or "true" in value.lower() else None
-                else:
-                    found.update(w.lower() for w in _WORDS.findall(value))
-            words = frozenset(found)
-        stack.append((tag, words))
-        links += tag == "a"
+            stack.begin(tag)
+        if tag not in VOID_TAGS:
+            stack.push(tag, _kinds(m[3]) if m[3] else frozenset())
     if at < n:
-        put(page[at:])
+        put(html.unescape(page[at:]))
     flush()
     return out
 
 
+def _kinds(attributes: str) -> frozenset[str]:
+    """What the class and id words, and the ways to hide an element, say about it."""
+    found = set()
+    for name, value in _NAMES.findall(attributes):
+        low = name.lower()
+        if low == "style":
+            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                found.add("hidden")
+        elif low == "hidden" or low == "aria-hidden":
+            found.add("hidden") if low == "hidden" or "true" in value.lower() else None
+        else:
+            found.update(_KIND[w] for w in map(str.lower, _WORDS.findall(value)) if w in _KIND)
+    return frozenset(found)
+
+
 # ---------------------------------------------------------------- features
 
 #: Words in class and id names, and in short texts, that the features tell apart by kind.
@@ -159,24 +196,24 @@ _SAYS = re.compile(
 )
 
 
+_ABOVE = frozenset("nav header footer aside form article main ul ol table section blockquote pre figure button select dialog a dl menu label".split())
+
+
 @lru_cache(maxsize=1 << 14)
-def _structure(tags: tuple[str, ...], names: frozenset[str]) -> tuple[tuple[str, ...], str]:
-    """Features of a block's place in the page, and its innermost block-level tag."""
-    kinds = sorted({_KIND[w] for w in names if w in _KIND})
-    f = ["bias", f"tag:{tags[-1] if tags else ''}"]
-    inner = next((t for t in reversed(tags) if t in BLOCK_TAGS), "")
-    f.append(f"block:{inner}")
-    above = set(tags)
-    f += [f"in:{t}" for t in sorted(above) if t in ("nav", "header", "footer", "aside", "form", "article", "main", "ul", "ol", "table", "section", "blockquote", "pre", "figure", "button", "select", "dialog", "a", "dl", "menu", "label")]
+def _structure(place: Place) -> tuple[str, ...]:
+    """Features of a block's place in the page."""
+    kinds = sorted(place.kinds)
+    f = ["bias", f"tag:{place.tag}", f"block:{place.inner}"]
+    f += [f"in:{t}" for t in sorted(place.above)]
     f += [f"kind:{k}" for k in kinds]
-    if "article" in above or "main" in above or "article" in kinds:
+    if "article" in place.above or "main" in place.above or "article" in kinds:
         f.append("within")
         f += [f"within+kind:{k}" for k in kinds]
-        f += [f"within+{t}" for t in ("header", "footer", "nav", "aside", "form", "ul") if t in above]
+        f += [f"within+{t}" for t in ("header", "footer", "nav", "aside", "form", "ul") if t in place.above]
     else:
         f.append("without")
-        f.append(f"without+block:{inner}")
-    return tuple(f), inner
+        f.append(f"without+block:{place.inner}")
+    return tuple(f)
 
 
 def features(found: list[Block]) -> list[list[str]]:
@@ -185,10 +222,10 @@ def features(found: list[Block]) -> list[list[str]]:
     longest = max((len(b.text) for b in found), default=0)
     seen_head = False
     for i, b in enumerate(found):
-        place, inner = _structure(b.tags, b.words)
+        inner = b.place.inner
         n = len(b.text)
         words = b.text.count(" ") + 1
-        f = list(place)
+        f = list(_structure(b.place))
         size = 0 if words < 3 else 1 if words < 8 else 2 if words < 20 else 3 if words < 50 else 4
         dense = 0 if not b.linked else 1 if 3 * b.linked < n else 2 if 3 * b.linked < 2 * n else 3
         f += [f"size:{size}", f"links:{dense}", f"size:{size}+links:{dense}", f"block:{inner}+size:{size}"]
