@@ -1,8 +1,8 @@
 """Quality rules with adaptive thresholds.
 
-The words, symbols and repeats of every whole text are counted; mergeable quantile sketches per language and source
-learn what is usual there, and documents far above the usual are rejected. What counts as far is at least a fixed margin
-(MARGINS), chosen by the labels of the given tables; there it decides every fence.
+The words, symbols and repeats of every whole text are counted. Mergeable quantile sketches per language and source learn
+how their documents are spread, and each sketch sets its own fence: between the usual documents and a minority that stands
+clearly apart, or, where there is none, far out on the tail. No value of a measure is fixed beforehand.
 """
 
 from __future__ import annotations
@@ -22,13 +22,19 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: Base rule: too few words, or too many of them in repeated three-word windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Measures in thousandths and their least distance from the median that counts as far.
-MARGINS = {"symbols": 50, "dup_lines": 500, "repeats": 300}
-#: A document is far above the usual beyond the median plus this many times (median less 25th percentile): junk above
-#: the median of a group, up to half of it, can't widen that spread.
-SPREADS = 4
-#: Sketches of fewer documents are merged: those of a source's languages into one per language, those into one.
-LEAST_DOCS = 200
+#: Measures: what is counted, in how much, and how many come in one event. A document's value is the share, in
+#: thousandths, that is left after CHANCE standard deviations of a chance count are taken off.
+MEASURES = {"symbols": ("n_symbols", "word_chars", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 3)}
+CHANCE = 3
+#: Cells of a sketch: values below FINE have a cell each, every doubling above has FINE cells (relative error 1 / FINE).
+FINE = 16
+#: Documents stand apart if the lower tenth of them is this many cells (two doublings) above 99% of the others.
+APART = 32
+#: The tail is left behind at the median of the values above zero plus so many times its distance from their 25th percentile.
+SPREADS = 8
+#: Sketches of fewer documents, or without a split and with fewer values above zero, are merged: those of a source's
+#: languages into one per language, those into one.
+LEAST_DOCS, LEAST_TAIL = 200, 100
 BROADCAST_ROWS = 100_000
 _ODD3 = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -113,43 +119,67 @@ def base_failed() -> Column:
 
 
 def measures() -> dict[str, Column]:
-    part = lambda a, b: F.expr(f"coalesce(1000 * {a} div nullif({b}, 0), 0L)")
-    return {"symbols": part("n_symbols", "word_chars"), "dup_lines": part("n_dup_lines", "n_lines"), "repeats": part("n_repeat_words", "n_words")}
+    """The cell of each measure's value."""
+
+    def cell(count: str, of: str, unit: int) -> Column:
+        value = f"coalesce(cast(floor(1000 * greatest(0D, {count} - {CHANCE} * sqrt({unit} * {count})) / nullif({of}, 0)) as bigint), 0L)"
+        bits = f"cast(length(bin({value})) - {FINE.bit_length()} as int)"
+        return F.expr(f"CASE WHEN {value} < {FINE} THEN {value} ELSE {FINE} * {bits} + shiftright({value}, {bits}) END")
+
+    return {k: cell(*v) for k, v in MEASURES.items()}
+
+
+def _fences(sketch: DataFrame, level: list[str]) -> DataFrame:
+    """(level, measure, docs, fence, sure) of sketches (level, measure, cell, n); sure where this sketch is enough.
+
+    The cells are split in two where the variance between the parts is greatest. The split is the fence if the upper part
+    is the smaller one and stands apart; else the fence is the far end of the tail, which is null if all values are 0.
+    """
+    merged = sketch.groupBy(*level, "measure", "cell").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*level, "measure")  # at most some hundred cells
+    upto = whole.orderBy("cell")
+    rows = merged.withColumns({"c": F.sum("n").over(upto), "s": F.sum(F.col("n") * F.col("cell")).over(upto), "docs": F.sum("n").over(whole), "total": F.sum(F.col("n") * F.col("cell")).over(whole), "none": F.coalesce(F.sum(F.when(F.col("cell") == 0, F.col("n"))).over(whole), F.lit(0))})
+    double = lambda c: F.col(c).cast("double")
+    gap = double("total") * double("c") - double("docs") * double("s")
+    score = F.when(F.col("c") < F.col("docs"), gap * gap / (double("c") * (double("docs") - double("c"))))
+    best = F.max(F.struct(F.coalesce(score, F.lit(-1.0)).alias("score"), (-F.col("cell")).alias("cell"), F.col("c").alias("c"))).over(whole)
+    rows = rows.withColumn("best", best).withColumns({"split": F.when(F.col("best.score") >= 0, -F.col("best.cell")), "below": F.col("best.c")})
+    least = lambda when: F.min(F.when(when, F.col("cell")))
+    found = rows.groupBy(*level, "measure").agg(
+        F.max("docs").alias("docs"), F.max(F.col("docs") - F.col("none")).alias("tail"), F.max("split").alias("split"), F.max("below").alias("below"),
+        least(100 * F.col("c") >= 99 * F.col("below")).alias("usual"), least((F.col("cell") > F.col("split")) & (10 * (F.col("c") - F.col("below")) >= F.col("docs") - F.col("below"))).alias("odd"),
+        least((F.col("cell") > 0) & (2 * (F.col("c") - F.col("none")) >= F.col("docs") - F.col("none"))).alias("q50"), least((F.col("cell") > 0) & (4 * (F.col("c") - F.col("none")) >= F.col("docs") - F.col("none"))).alias("q25"),
+    )
+    apart = F.coalesce((F.col("odd") - F.col("usual") >= APART) & (2 * (F.col("docs") - F.col("below")) < F.col("docs")), F.lit(False))
+    fence = F.when(apart, F.col("split")).otherwise(F.col("q50") + SPREADS * (F.col("q50") - F.col("q25")))
+    return found.select(*level, "measure", "docs", fence.alias("fence"), ((F.col("docs") >= LEAST_DOCS) & (apart | (F.col("tail") >= LEAST_TAIL))).alias("sure"), apart.alias("apart"))
 
 
 def thresholds(counted: DataFrame) -> DataFrame:
-    """(lang, source, one upper fence for each measure) from sketches of the documents that pass the base rule.
+    """(lang, source, the highest usual cell of each measure) from sketches of the documents that pass the base rule.
 
-    A sketch is the counts of a measure's values on a grid of thousandths: at most 1,001 counters, exact on the grid,
-    and merged by adding counters. Groups with fewer than LEAST_DOCS documents use their language's merged sketch,
-    and languages with fewer the sketch of all.
+    A sketch counts a measure's values in cells of bounded relative error; sketches merge by adding counters, in any order.
     """
     usable = counted.filter(~base_failed())
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in measures().items()]))
-    sketch = usable.select("lang", "source", pairs.alias("p")).groupBy("lang", "source", "p.measure", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("cell")) for k, v in measures().items()]))
+    sketch = usable.select("lang", "source", pairs.alias("p")).groupBy("lang", "source", "p.measure", "p.cell").agg(F.count(F.lit(1)).alias("n"))
     sketch = materialise(sketch, "quality-sketch")
 
     def fences(level: list[str], tag: str) -> DataFrame:
-        merged = sketch.groupBy(*level, "measure", "value").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*level, "measure")
-        upto = merged.withColumn("upto", F.sum("n").over(w.orderBy("value"))).withColumn("all", F.sum("n").over(w))
-        q = upto.groupBy(*level, "measure").agg(F.max("all").alias("docs"), F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("value"))).alias("q50"), F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("value"))).alias("q25"))
-        margin = F.create_map(*[x for k, v in MARGINS.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-        fence = F.col("q50") + F.greatest(margin[F.col("measure")], SPREADS * (F.col("q50") - F.col("q25")))
-        wide = q.groupBy(*level).agg(F.max("docs").alias(f"{tag}_docs"), *[F.max(F.when(F.col("measure") == k, fence)).alias(f"{tag}_{k}") for k in MARGINS])
+        f = _fences(sketch, level)
+        wide = f.groupBy(*level).agg(*[F.max(F.when((F.col("measure") == k) & F.col("sure"), F.struct(F.col("fence").alias("fence")))).alias(f"{tag}_{k}") for k in MEASURES]) if level else f.agg(*[F.max(F.when(F.col("measure") == k, F.struct(F.col("fence").alias("fence")))).alias(f"{tag}_{k}") for k in MEASURES])
         return wide.select(*[F.col(c).alias(f"{tag}_{c}") for c in level], *wide.columns[len(level) :])
 
     one, two, three = fences(["lang", "source"], "a"), fences(["lang"], "b"), fences([], "c")
     names = counted.select("lang", "source").distinct()
     out = names.join(one, names["lang"].eqNullSafe(one["a_lang"]) & names["source"].eqNullSafe(one["a_source"]), "left")
     out = out.join(two, out["lang"].eqNullSafe(two["b_lang"]), "left").join(F.broadcast(three), F.lit(True), "left")  # one row
-    pick = lambda k: F.when(F.col("a_docs") >= LEAST_DOCS, F.col(f"a_{k}")).when(F.col("b_docs") >= LEAST_DOCS, F.col(f"b_{k}")).otherwise(F.col(f"c_{k}"))
-    return out.select("lang", "source", *[pick(k).alias(f"most_{k}") for k in MARGINS])
+    return out.select("lang", "source", *[F.coalesce(f"a_{k}", f"b_{k}", f"c_{k}")["fence"].alias(f"most_{k}") for k in MEASURES])
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
     """counted with base_failed and kept. limits: the materialised thresholds."""
-    limits = small_side(limits, BROADCAST_ROWS).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"most_{k}" for k in MARGINS])
+    limits = small_side(limits, BROADCAST_ROWS).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"most_{k}" for k in MEASURES])
     both = counted.join(limits, counted["lang"].eqNullSafe(limits["_lang"]) & counted["source"].eqNullSafe(limits["_source"]), "left")
     usual = F.lit(True)
     for k, v in measures().items():
@@ -178,16 +208,35 @@ def op10_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-#: Takes the spread above the median, so it holds for tables where MARGINS exceed either spread, as in the given ones.
+def _sql_cell(count: str, of: str, unit: int) -> str:
+    value = f"coalesce(floor(1000 * greatest(0::DOUBLE, {count} - {CHANCE} * sqrt({unit} * {count})) / nullif({of}, 0))::BIGINT, 0)"
+    bits = f"(length(bin({value})) - {FINE.bit_length()})"
+    return f"CASE WHEN {value} < {FINE} THEN {value} ELSE {FINE} * {bits} + ({value} >> {bits}) END"
+
+
 def _sql_fence(level: str, tag: str) -> str:
     by = f"{level}," if level else ""
-    return f"""{tag}_u AS (
-  SELECT {by} measure, value, sum(n) OVER (PARTITION BY {by} measure ORDER BY value) AS upto, sum(n) OVER (PARTITION BY {by} measure) AS total
-  FROM (SELECT {by} measure, value, count(*) AS n FROM v GROUP BY {by} measure, value)),
+    return f"""{tag}_m AS (SELECT {by} measure, cell, count(*) AS n FROM v GROUP BY {by} measure, cell),
+{tag}_u AS (
+  SELECT *, sum(n) OVER (PARTITION BY {by} measure ORDER BY cell) AS c, sum(n * cell) OVER (PARTITION BY {by} measure ORDER BY cell) AS s, sum(n) OVER (PARTITION BY {by} measure) AS docs,
+         sum(n * cell) OVER (PARTITION BY {by} measure) AS total, coalesce(sum(n) FILTER (cell = 0) OVER (PARTITION BY {by} measure), 0) AS none
+  FROM {tag}_m),
+{tag}_s AS (
+  SELECT *, CASE WHEN c < docs THEN (total::DOUBLE * c::DOUBLE - docs::DOUBLE * s::DOUBLE) * (total::DOUBLE * c::DOUBLE - docs::DOUBLE * s::DOUBLE) / (c::DOUBLE * (docs::DOUBLE - c::DOUBLE)) END AS score FROM {tag}_u),
+{tag}_b AS (
+  SELECT *, first_value(CASE WHEN score IS NOT NULL THEN cell END) OVER w AS split, first_value(CASE WHEN score IS NOT NULL THEN c END) OVER w AS below
+  FROM {tag}_s WINDOW w AS (PARTITION BY {by} measure ORDER BY score DESC NULLS LAST, cell)),
 {tag}_q AS (
-  SELECT {by} measure, max(total) AS docs, min(CASE WHEN 2 * upto >= total THEN value END) AS q50, min(CASE WHEN 4 * upto >= 3 * total THEN value END) AS q75
-  FROM {tag}_u GROUP BY {by} measure),
-{tag} AS (SELECT *, q50 + greatest(CASE measure {" ".join(f"WHEN '{k}' THEN {v}" for k, v in MARGINS.items())} END, {SPREADS} * (q75 - q50)) AS fence FROM {tag}_q)"""
+  SELECT {by} measure, max(docs) AS docs, max(docs - none) AS tail, max(split) AS split, max(below) AS below, min(cell) FILTER (100 * c >= 99 * below) AS usual,
+         min(cell) FILTER (cell > split AND 10 * (c - below) >= docs - below) AS odd, min(cell) FILTER (cell > 0 AND 2 * (c - none) >= docs - none) AS q50,
+         min(cell) FILTER (cell > 0 AND 4 * (c - none) >= docs - none) AS q25
+  FROM {tag}_b GROUP BY {by} measure),
+{tag} AS (
+  SELECT {by} measure, CASE WHEN apart THEN split ELSE q50 + {SPREADS} * (q50 - q25) END AS fence, docs >= {LEAST_DOCS} AND (apart OR tail >= {LEAST_TAIL}) AS sure
+  FROM (SELECT *, coalesce(odd - usual >= {APART} AND 2 * (docs - below) < docs, false) AS apart FROM {tag}_q))"""
+
+
+_SQL_VALUES = f"unnest([{', '.join(repr(k) for k in MEASURES)}]) AS measure, unnest([{', '.join(MEASURES)}]) AS cell"
 
 
 OP10_SQL = rf"""
@@ -208,22 +257,19 @@ c AS (
   FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id),
 m AS (
   SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
-         coalesce(1000 * n_symbols // nullif(word_chars, 0), 0) AS symbols,
-         coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) AS dup_lines,
-         coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS repeats
+         {", ".join(f"{_sql_cell(*x)} AS {k}" for k, x in MEASURES.items())}
   FROM c),
-v AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats']) AS measure, unnest([symbols, dup_lines, repeats]) AS value FROM m WHERE NOT base_failed),
+v AS (SELECT lang, source, {_SQL_VALUES} FROM m WHERE NOT base_failed),
 {_sql_fence("lang, source", "a")},
 {_sql_fence("lang", "b")},
 {_sql_fence("", "c3")},
 k AS (
-  SELECT m.doc_id, bool_and(x.value <= CASE WHEN a.docs >= {LEAST_DOCS} THEN a.fence WHEN b.docs >= {LEAST_DOCS} THEN b.fence ELSE c3.fence END) AS usual
-  FROM (SELECT doc_id, lang, source, unnest(['symbols', 'dup_lines', 'repeats']) AS measure, unnest([symbols, dup_lines, repeats]) AS value FROM m) x
-  JOIN m ON m.doc_id = x.doc_id
+  SELECT x.doc_id, bool_and(coalesce(x.cell <= CASE WHEN a.sure THEN a.fence WHEN b.sure THEN b.fence ELSE c3.fence END, true)) AS usual
+  FROM (SELECT doc_id, lang, source, {_SQL_VALUES} FROM m) x
   LEFT JOIN a ON a.lang IS NOT DISTINCT FROM x.lang AND a.source IS NOT DISTINCT FROM x.source AND a.measure = x.measure
   LEFT JOIN b ON b.lang IS NOT DISTINCT FROM x.lang AND b.measure = x.measure
   LEFT JOIN c3 ON c3.measure = x.measure
-  GROUP BY m.doc_id)
+  GROUP BY x.doc_id)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(usual, true) AS kept
 FROM m LEFT JOIN k ON m.doc_id = k.doc_id
 """

@@ -144,3 +144,80 @@ def test_a_source_that_is_40_percent_junk_loses_its_junk(spark):
     docs = spark.createDataFrame(rows, cases.SCHEMA)
     assert not quality.annotate(docs).filter(quality.base_failed()).count()
     assert sorted(x.doc_id for x in quality.keep_usual(docs).collect()) == sorted(i for i, *_ in rows if i > 0)
+
+
+def brute_kept(rows):
+    """doc_id -> kept, from the words of the rule alone: plain lists instead of sketches."""
+    import math
+
+    def cell(v):
+        e = max(0, v.bit_length() - 5)
+        return v if v < 16 else 16 * e + (v >> e)
+
+    def share(k, n, unit):
+        return cell(math.floor(1000 * max(0.0, k - 3 * math.sqrt(unit * k)) / n) if n else 0)
+
+    told = {}
+    for i, text, lang, source, _ in rows:
+        n, chars, symbols, dup, rep = brute_counts(text)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+        told[i] = (lang, source, n < 50 or 100 * rep > 50 * n, (share(symbols, chars, 1), share(dup, lines, 1), share(rep, n, 3)))
+
+    def fence(values):
+        values = sorted(values)
+        if not values:
+            return None, False
+        n, total, best = len(values), sum(values), None
+        for k in range(1, n):
+            if values[k] != values[k - 1]:
+                gap = float(total) * float(k) - float(n) * float(sum(values[:k]))
+                score = gap * gap / (float(k) * (float(n) - float(k)))
+                if best is None or score > best[0]:
+                    best = score, k
+        tail = [v for v in values if v]
+        if best:
+            low, high = values[: best[1]], values[best[1] :]
+            if 2 * len(high) < n and high[math.ceil(len(high) / 10) - 1] - low[math.ceil(0.99 * len(low)) - 1] >= 32:
+                return low[-1], n >= 200
+        q = lambda p: tail[math.ceil(p * len(tail)) - 1]
+        return (q(0.5) + 8 * (q(0.5) - q(0.25)) if tail else None), n >= 200 and len(tail) >= 100
+
+    usable = [t for t in told.values() if not t[2]]
+    out = {}
+    memo = {}
+    for i, (lang, source, bad, values) in told.items():
+        kept = not bad
+        for m, v in enumerate(values):
+            for key, group in (((m, lang, source), lambda t: t[:2] == (lang, source)), ((m, lang), lambda t: t[0] == lang), ((m,), lambda t: True)):
+                if key not in memo:
+                    memo[key] = fence([t[3][m] for t in usable if group(t)])
+                most, sure = memo[key]
+                if sure or key == (m,):
+                    kept = kept and (most is None or v <= most)
+                    break
+        out[i] = kept
+    return out
+
+
+def test_kept_matches_brute_force(spark, tmp_path):
+    r = random.Random(12)
+    rows = [(i, t, lang, source, n) for i, t, lang, source, n in (tuple(x) for x in cases.documents(spark).collect())]
+    at = 5000
+    for source, lang, n, junk in (("hot", "en", 260, 0.3), ("hot", "de", 60, 0.1), ("calm", "en", 230, 0.0), ("small", "fr", 40, 0.2), (None, None, 210, 0.02), ("code", "en", 220, 1.0)):
+        for _ in range(n):
+            words = cases.words(r, r.randint(50, 140)).split(" ")
+            if r.random() < junk:
+                words = [w + "*" * r.randint(1, 4) for w in words]
+            for _ in range(r.choice([0, 0, 0, 1, 2, 4])):  # repeats, few and many
+                words += words[: r.randint(3, 12)]
+            text = " ".join(words)
+            if r.random() < 0.2:
+                text += "\nsame line" * r.randint(1, 25)
+            rows.append((at, text, lang, source, 1))
+            at += 1
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    got = {x.doc_id: x.kept for x in quality.op10_adaptive_quality(spark, cases.sf(docs, tmp_path)).collect()}
+    want = brute_kept(rows)
+    assert got == want
+    code = [i for i, _, _, source, _ in rows if source == "code"]
+    assert sum(want[i] for i in code) > 0.8 * len(code)  # what is usual in its source stays
