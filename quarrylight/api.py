@@ -72,12 +72,18 @@ class Index:
         total = planned.count()
         yield Progress(0.2, f"{total} changes", "indexing")
         new = files.join(planned.filter("op = 'compute'").select("path", "cache_key"), ["path", "cache_key"], "left_semi")
-        symbols, pieces = outline.outline_files(new, most)
+        next_ = os.path.join(self.home, f"v{self.version() + 1}")
+        parsed = os.path.join(next_, "parsed")
+
+        def written(df: DataFrame) -> DataFrame:
+            df.write.mode("overwrite").parquet(parsed)
+            return self.spark.read.schema(df.schema).parquet(parsed)
+
+        symbols, pieces = outline.outline_files(new, most, written)
         keys = new.select("path", "cache_key")
         symbols, pieces = symbols.join(keys, "path"), pieces.join(keys, "path")
         gone = planned.filter("op <> 'compute'").select("path", "cache_key")
         kept = store.delete_files(self.table("symbols"), self.table("chunks"), self.table("chunk_tags"), gone)
-        next_ = os.path.join(self.home, f"v{self.version() + 1}")
         tags = pieces.select(F.lit(self.tag).alias("tag"), F.col("id").alias("chunk_id"))
         now = int(files.agg(F.coalesce(F.max("last_modified"), F.lit(0))).first()[0]) + 1
         tables = {

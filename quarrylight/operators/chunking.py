@@ -18,35 +18,34 @@ def should_chunk(path: Column, content: Column) -> Column:
 
 
 def spans(content: Column, most: int, counter: tokens.Counter = tokens.count) -> Column:
-    """array<struct<start, end, tokens>>: lines packed greedily below most - 5 tokens, a line break counting one.
+    """array<struct<start, end, tokens, text>>: lines packed greedily below most - 5 tokens, a line break counting one.
 
     Line numbers are 0-based and inclusive. Lines of ``most`` tokens or more are left out but end a span, even an empty
-    one; a text of white space has no span.
+    one; a text of white space has no span. Every line is split off and counted once.
     """
-    lines = F.split(content, "\n")
-    costs = F.transform(lines, lambda x: counter(x).cast("int"))
-    empty = F.array().cast("array<struct<start:int,end:int,tokens:int>>")
-    state = F.struct(empty.alias("out"), F.lit(0).alias("used"), F.lit(0).alias("start"), F.lit(0).alias("at"))
+    lines = F.transform(F.split(content, "\n"), lambda x: F.struct(x.alias("line"), counter(x).cast("int").alias("cost")))
+    empty = F.array().cast("array<struct<start:int,end:int,tokens:int,text:string>>")
+    state = F.struct(empty.alias("out"), F.lit(0).alias("used"), F.lit("").alias("text"), F.lit(0).alias("start"), F.lit(0).alias("at"))
 
-    def step(a: Column, t: Column) -> Column:
-        full = a["used"] + t > most - RESERVE
-        out = F.when(full, F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), (a["at"] - 1).alias("end"), a["used"].alias("tokens"))))).otherwise(a["out"])
-        used = F.when(full, 0).otherwise(a["used"]) + F.when(t < most, t + 1).otherwise(0)
-        return F.struct(out.alias("out"), used.alias("used"), F.when(full, a["at"]).otherwise(a["start"]).alias("start"), (a["at"] + 1).alias("at"))
+    def shut(a: Column) -> Column:
+        return F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), (a["at"] - 1).alias("end"), a["used"].alias("tokens"), a["text"].alias("text"))))
 
-    def close(a: Column) -> Column:
-        return F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), (a["at"] - 1).alias("end"), a["used"].alias("tokens"))))
+    def step(a: Column, x: Column) -> Column:
+        full, short = a["used"] + x["cost"] > most - RESERVE, x["cost"] < most
+        return F.struct(
+            F.when(full, shut(a)).otherwise(a["out"]).alias("out"), (F.when(full, 0).otherwise(a["used"]) + F.when(short, x["cost"] + 1).otherwise(0)).alias("used"),
+            F.concat(F.when(full, "").otherwise(a["text"]), F.when(short, F.concat(x["line"], F.lit("\n"))).otherwise("")).alias("text"),
+            F.when(full, a["at"]).otherwise(a["start"]).alias("start"), (a["at"] + 1).alias("at"),
+        )
 
-    return F.when(strip(content) == "", empty).otherwise(F.aggregate(costs, state, step, close))
+    return F.when(strip(content) == "", empty).otherwise(F.aggregate(lines, state, step, shut))
 
 
 def basic_chunks(files: DataFrame, most: int = CHUNK_TOKENS, counter: tokens.Counter = tokens.count) -> DataFrame:
     """files (path, content, ...) with idx, start_line, end_line and content of each chunk, in order."""
-    lines = F.split("content", "\n")
-    cut = files.select("*", F.posexplode(spans(F.col("content"), most, counter)).alias("idx", "_s"))
-    kept = F.filter(F.slice(lines, F.col("_s.start") + 1, F.greatest(F.col("_s.end") - F.col("_s.start") + 1, F.lit(0))), lambda x: counter(x) < most)
-    text = F.when(F.size(kept) > 0, F.concat(F.array_join(kept, "\n"), F.lit("\n"))).otherwise(F.lit(""))
-    return cut.select(*[c for c in files.columns if c != "content"], "idx", F.col("_s.start").alias("start_line"), F.col("_s.end").alias("end_line"), text.alias("content"))
+    others = [c for c in files.columns if c != "content"]
+    cut = files.select(*others, F.posexplode(spans(F.col("content"), most, counter)).alias("idx", "_s"))
+    return cut.select(*others, "idx", F.col("_s.start").alias("start_line"), F.col("_s.end").alias("end_line"), F.col("_s.text").alias("content"))
 
 
 def document_chunks(files: DataFrame, most: int = CHUNK_TOKENS, key: str = "path", counter: tokens.Counter = tokens.count) -> DataFrame:

@@ -9,7 +9,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarrylight.functions import tokens
+from quarrylight.operators.chunking import basic_chunks
 
 PYTHON = ("py", "pyi")
 BRACES = ("js", "jsx", "mjs", "cjs", "ts", "tsx", "java", "go", "rs", "c", "h", "cc", "cpp", "cxx", "hpp", "cs", "php", "kt", "scala", "swift")
@@ -121,12 +125,12 @@ def split_lines_to(lines: list[str], start: int, most: int, header: str = "") ->
     return out
 
 
-def outline(path: str, source: str, most: int) -> tuple[list[dict], list[dict]]:
+def outline(path: str, source: str, most: int) -> tuple[list[dict], list[dict] | None]:
     """(symbols, pieces) of a file.
 
     The file is a symbol itself. A class has one piece with its whole text if that fits, else pieces of an overview in
     which methods stand as their first line; a function one piece, else pieces that each repeat its header. Files of
-    other kinds, and those that do not parse, have the pieces of the plain chunker below the file's symbol.
+    other kinds, and those that do not parse, have None for pieces: they are cut by the plain chunker.
     """
     key = lambda *x: hashlib.sha256("\x1f".join(map(str, (path, *x))).encode()).hexdigest()[:32]
     lines = source.splitlines(keepends=True)
@@ -180,51 +184,39 @@ def outline(path: str, source: str, most: int) -> tuple[list[dict], list[dict]]:
     except (SyntaxError, ValueError, RecursionError):
         found = None
     if found is None:
-        kept = [(a, b, t) for a, b, t in basic(source, most) if count(t) <= most]
-        put(top, [], top.name)
-        for k, (a, b, text) in enumerate(kept):
-            pieces.append({
-                "path": path, "id": key("piece", top.id, k), "symbol_id": top.id, "idx": k, "piece_index": k, "piece_count": 1, "prev_chunk": None, "next_chunk": None,
-                "start_line": a, "end_line": b, "signature": top.name, "content": text,
-            })
-    else:
-        for k, s in enumerate(found):
-            visit(s, top, k)
+        return symbols, None
+    for k, s in enumerate(found):
+        visit(s, top, k)
     return symbols, pieces
 
 
-def basic(source: str, most: int) -> list[tuple[int, int, str]]:
-    """The plain chunker for one text: lines packed greedily below most - 5 tokens."""
-    if not source.strip():
-        return []
-    out, held, used, start = [], [], 0, 0
-    rows = source.split("\n")
-    for i, line in enumerate(rows):
-        n = count(line)
-        if used + n > most - 5:
-            out.append((start, i - 1, "".join(held)))
-            held, used, start = [], 0, i
-        if n < most:
-            held.append(line + "\n")
-            used += n + 1
-    return [*out, (start, len(rows) - 1, "".join(held))]
-
-
-def outline_files(files: DataFrame, most: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(symbols, pieces) of files (path, content), as lazy tables; each reads the files by itself."""
-
-    def run(which: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        columns = [c.strip().split(" ")[0] for c in (SYMBOLS, PIECES)[which].split(",")]
+def outline_files(files: DataFrame, most: int = 512, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(symbols, pieces) of files (path, content). Both come from one table of parsed files.
 
-        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                rows = [r for p, c in zip(frame["path"], frame["content"], strict=True) for r in outline(p, c or "", most)[which]]
-                yield pd.DataFrame(rows, columns=columns)
-
-        return each
+    store may write that table and read it back, so that files are parsed once; without it each of the two parses them.
+    Files that have no outline are cut by the plain chunker.
+    """
 
-    slim = files.select("path", "content")
-    return slim.mapInPandas(run(0), SYMBOLS), slim.mapInPandas(run(1), PIECES)
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for p, c in zip(frame["path"], frame["content"], strict=True):
+                symbols, pieces = outline(p, c or "", most)
+                rows.append((p, pieces is None, symbols, pieces or []))
+            yield pd.DataFrame(rows, columns=["path", "plain", "symbols", "pieces"])
+
+    struct = lambda columns: "array<struct<" + ",".join(":".join(c.split()) for c in columns.split(", ")) + ">>"
+    parsed = store(files.select("path", "content").mapInPandas(each, f"path string, plain boolean, symbols {struct(SYMBOLS)}, pieces {struct(PIECES)}"))
+    symbols = parsed.select(F.explode("symbols").alias("s")).select("s.*")
+    pieces = parsed.select(F.explode("pieces").alias("p")).select("p.*")
+    plain = basic_chunks(files.select("path", "content").join(parsed.filter("plain").select("path", F.col("symbols")[0].alias("file")), "path"), most).filter(tokens.count(F.col("content")) <= most)
+    at = (F.row_number().over(Window.partitionBy("path").orderBy("idx")) - 1).cast("int")
+    numbered = plain.withColumn("piece_index", at)
+    made = {
+        "id": F.substring(F.sha2(F.concat_ws("\x1f", "path", F.lit("piece"), "file.id", F.col("piece_index").cast("string")), 256), 1, 32), "symbol_id": F.col("file.id"), "idx": F.col("piece_index"), "piece_count": F.lit(1),
+        "prev_chunk": F.lit(None).cast("string"), "next_chunk": F.lit(None).cast("string"), "signature": F.col("file.name"),
+    }
+    return symbols, pieces.unionByName(numbered.withColumns(made).select(pieces.columns))
 
 
 def find_snippets(files: DataFrame) -> DataFrame:

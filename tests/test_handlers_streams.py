@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from quarrylight.operators.handlers import TOOLS, Handlers, truncated
+from quarrylight.operators.handlers import TOOLS, Handlers, rendered
 from quarrylight.streaming import watch
 from tests.test_lookup import session  # noqa: F401
 
@@ -22,10 +22,11 @@ def test_tools(session):  # noqa: F811
     assert Handlers(session, pending=lambda p: True).get_symbol("long-function")["code"] == "PATH_PENDING"
 
 
-def test_truncated_symbols():
+def test_truncated_symbols(spark):
     s = {"id": "i", "name": "n", "path": "p", "start_line": 10, "end_line": 13, "code": "line 1\nline 2\nline 3\nline 4"}
-    assert truncated(s, 25)["code"] == "line 1\n...(truncated)..." and truncated(s, 25)["returned_end_line"] == 10
-    assert truncated(s, 3)["code"] == "..." and truncated(s, 3)["returned_end_line"] == 9
+    cut = lambda n: rendered(spark, [s], n)[0]
+    assert cut(25)["code"] == "line 1\n...(truncated)..." and cut(25)["returned_end_line"] == 10 and cut(25)["total_lines"] == 4
+    assert cut(3)["code"] == "..." and cut(3)["returned_end_line"] == 9 and "truncated" not in cut(100)
 
 
 def test_batches_open_with_their_first_event(spark):

@@ -97,9 +97,22 @@ def test_cascades_leave_no_orphan(spark):
 
 
 @pytest.mark.parametrize("source", ["", "   ", "a", "a\n", "w " * 6 + "\n" + "x " * 5, "w " * 11 + "\nb\n" + "c " * 10 + "\nd", "\n\n\n"])
-def test_plain_chunks_match_the_loop(spark, source):
-    got = [(r.start_line, r.end_line, r.content) for r in chunking.basic_chunks(spark.createDataFrame([("f.txt", source)], "path string, content string"), 11).orderBy("idx").collect()]
-    assert got == outline.basic(source, 11)
+def test_plain_chunks_hold_all_lines_in_order(spark, source):
+    most = 11
+    got = [(r.start_line, r.end_line, r.content) for r in chunking.basic_chunks(spark.createDataFrame([("f.txt", source)], "path string, content string"), most).orderBy("idx").collect()]
+    lines = source.split("\n")
+    if not source.strip():
+        assert got == []
+        return
+    # spans follow each other over all lines, hold their lines under the limit, and could not take one more
+    assert [a for a, _, _ in got] == [0, *(b + 1 for _, b, _ in got[:-1])] and got[-1][1] == len(lines) - 1
+    for k, (a, b, text) in enumerate(got):
+        held = [x for x in lines[a : b + 1] if outline.count(x) < most]
+        assert text == "".join(x + "\n" for x in held)
+        used = sum(outline.count(x) + 1 for x in held)
+        assert used <= most
+        if k + 1 < len(got):
+            assert used + outline.count(lines[b + 1]) > most - 5
 
 
 def test_search_queries():
@@ -205,18 +218,40 @@ def test_large_functions_are_split_with_their_header():
     assert [s["name"] for s in symbols] == ["m.py", "f"] and len(pieces) > 1
     assert all(p["content"].startswith("def f(x):\n") and outline.count(p["content"]) <= 40 for p in pieces)
     assert [p["prev_chunk"] for p in pieces[1:]] == [p["id"] for p in pieces[:-1]]
-    assert outline.outline("m.py", "def broken(:", 40)[1][0]["content"] == "def broken(:\n"
-
-
-def test_symbol_cache_counts_bytes():
-    cache = tools.SymbolCache(5)
-    cache.put("a", "/x", "é")
-    cache.put("b", "/y", "abc")
-    assert cache.get("a") == "é"
-    cache.put("c", "/z", "z")
-    assert cache.get("b") is None and cache.get("a") == "é" and cache.bytes == 3
-    cache.invalidate_path("file:///x")
-    assert cache.get("a") is None and cache.bytes == 1
+    assert outline.outline("m.py", "def broken(:", 40)[1] is None
+
+
+def test_files_without_an_outline_are_cut_by_the_plain_chunker(spark):
+    rows = [("m.py", "def broken(:"), ("n.py", "def f():\n    return 1\n"), ("a.txt", "\n".join(f"line {i}" for i in range(40))), ("e.txt", "")]
+    symbols, pieces = outline.outline_files(spark.createDataFrame(rows, "path string, content string"), 40)
+    assert sorted((r.path, r.name) for r in symbols.collect()) == [("a.txt", "a.txt"), ("e.txt", "e.txt"), ("m.py", "m.py"), ("n.py", "f"), ("n.py", "n.py")]
+    found = pieces.orderBy("path", "idx").collect()
+    assert [p.content for p in found if p.path == "m.py"] == ["def broken(:\n"] and [p.content for p in found if p.path == "n.py"] == [rows[1][1]]
+    text = [p for p in found if p.path == "a.txt"]
+    assert "".join(p.content for p in text) == rows[2][1] + "\n" and [p.piece_index for p in text] == list(range(len(text))) and len({p.id for p in found}) == len(found)
+
+
+def test_rendered_codes_are_bound_by_bytes():
+    held = tools.Rendered(5)
+    held.add("a", "/x", "é")
+    held.add("b", "/y", "abc")
+    assert held.code("a") == "é"
+    held.add("c", "/z", "z")
+    assert held.code("b") is None and held.code("a") == "é" and held.held_bytes == 3
+    held.forget("file:///x")
+    assert held.code("a") is None and held.held_bytes == 1
+    held.add("d", "/d", "longer than all")
+    assert held.held_bytes == 0 and held.code("c") is None
+
+
+def test_cleaned_comments(spark):
+    for doc, want in (("/** a\n * b\n */", " a\nb"), ("// x\n/// y", "x\ny"), ("# t\n;; u", "t\nu"), ("/* z */", " z"), ("/ one", "/ one"), ("\n//\n# a  \n\n", "a")):
+        assert one(spark, text.clean_doc(F.lit(doc))) == want, doc
+
+
+def test_errors_that_clear_the_index(spark):
+    yes = ("x sqlite_full y", "SQLITE_ERROR: no such table", "Invalid argument error: Values length 12 is less than the length (34) multiplied by the value size 5")
+    assert [one(spark, text.clears_index(F.lit(x))) for x in (*yes, "disk is slow")] == [True, True, True, False]
 
 
 def test_moves_touch_two_paths(spark):
