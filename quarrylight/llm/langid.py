@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.common import materialise, schema_with, set_aside, slices, string_buffers
+from quarrylight.llm.common import materialise, schema_with, set_aside, slices, small_side, string_buffers
 
 #: Families of languages by ISO 639 code. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -35,6 +35,8 @@ FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 UNDETERMINED = "und"
 #: Training rows of each language at most, chosen by a hash of doc_id; bytes of a piece that is learnt beside each.
 SAMPLE_ROWS, PIECE_BYTES = 400, 80
+#: Rows of languages, or of the sample, that are broadcast at most.
+BROADCAST_ROWS = 100_000
 #: n-grams kept as features: the most frequent in the sample.
 FEATURES = 6000
 _BIGRAMS, _TRIGRAMS = 1 << 16, 1 << 16
@@ -62,24 +64,48 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both.ravel()[: ends[-1]], ends
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 0.05, rounds: int = 25) -> np.ndarray:
-    """Weights (the last is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
-    q = (x * x).sum(1) + 0.5 / cost
+@dataclass
+class Rows:
+    """Sparse rows: the features of row i and their values are in ptr[i] to ptr[i + 1]; ``mean`` is taken off every row."""
+
+    ptr: np.ndarray
+    feature: np.ndarray
+    value: np.ndarray
+    mean: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Rows:
+        size = np.diff(self.ptr)[rows]
+        at = np.concatenate([np.arange(self.ptr[i], self.ptr[i + 1]) for i in rows]) if len(rows) else np.zeros(0, np.int64)
+        return Rows(np.concatenate([[0], np.cumsum(size)]), self.feature[at], self.value[at], self.mean)
+
+
+def train_svm(x: Rows, y: np.ndarray, cost: float = 0.05, rounds: int = 25) -> np.ndarray:
+    """Weights (the last is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent.
+
+    The mean is taken off by bookkeeping: the weights are u - s * mean, so a step touches a row's own features only.
+    """
+    n, mean = len(y), x.mean
+    parts = [(x.feature[a:b], x.value[a:b]) for a, b in zip(x.ptr[:-1].tolist(), x.ptr[1:].tolist(), strict=True)]
+    on_mean = np.array([v @ mean[f] for f, v in parts])
+    mm = float(mean @ mean)
+    own = np.array([float(v @ v) for _, v in parts]) - 2 * on_mean + mm + 1
+    alpha, u, s, um, bias = np.zeros(n), np.zeros(len(mean)), 0.0, 0.0, 0.0
     order = np.random.default_rng(3)
     for _ in range(rounds):
         moved = 0.0
-        for i in order.permutation(len(x)):
-            g = y[i] * (w @ x[i]) - 1 + alpha[i] * 0.5 / cost
-            new = max(alpha[i] - g / q[i], 0.0)
+        for i in order.permutation(n).tolist():
+            f, v = parts[i]
+            g = y[i] * (u[f] @ v - s * on_mean[i] - um + s * mm + bias) - 1 + alpha[i] * 0.5 / cost
+            new = max(alpha[i] - g / (own[i] + 0.5 / cost), 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                d = (new - alpha[i]) * y[i]
+                u[f] += d * v
+                um, s, bias = um + d * on_mean[i], s + d, bias + d
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-4:
             break
-    return w
+    return np.append(u - s * mean, bias)
 
 
 @dataclass
@@ -139,14 +165,17 @@ def fit(counts: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
     top = np.sort(np.argsort(-total, kind="stable")[: min(FEATURES, int((total > 0).sum()))])
     column = np.full(_NONE + 1, -1)
     column[top] = np.arange(len(top))
-    x = np.zeros((len(counts), len(top)))
-    for row, (_, ids, n) in enumerate(counts):
-        known = column[ids] >= 0
-        x[row, column[ids[known]]] = n[known] / n.sum()
-    mean, spread = x.mean(0), np.sqrt(x.mean(0)) + 1e-9
-    x = (x - mean) / spread
-    scale = np.sqrt((x * x).sum(1).mean()) or 1.0
-    x /= scale
+    known = [column[ids] >= 0 for _, ids, _ in counts]
+    feature = np.concatenate([column[ids[k]] for k, (_, ids, _) in zip(known, counts, strict=True)])
+    value = np.concatenate([n[k] / n.sum() for k, (_, _, n) in zip(known, counts, strict=True)])
+    ptr = np.concatenate([[0], np.cumsum([int(k.sum()) for k in known])])
+    mean = np.bincount(feature, value, minlength=len(top)) / len(counts)
+    spread = np.sqrt(mean) + 1e-9
+    # rows are scaled to a mean square norm of one about their mean
+    value = value / spread[feature]
+    centre = mean / spread
+    scale = np.sqrt(max(float(value @ value) / len(counts) - float(centre @ centre), 0.0)) or 1.0
+    x = Rows(ptr, feature, value / scale, centre / scale)
     y = np.array([c[0] for c in counts])
     groups: dict[str, list[str]] = {}
     for lang in langs:
@@ -158,9 +187,9 @@ def fit(counts: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
             machines.append(train_svm(x, np.where(np.isin(y, members), 1.0, -1.0)))
     for members in families:
         for a, b in combinations(members, 2):
-            rows = np.isin(y, (a, b))
+            rows = np.flatnonzero(np.isin(y, (a, b)))
             pairs[a, b] = len(machines)
-            machines.append(train_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0)))
+            machines.append(train_svm(x.take(rows), np.where(y[rows] == a, 1.0, -1.0)))
     weights, bias = np.zeros((_NONE + 1, max(1, len(machines))), np.float32), np.zeros(max(1, len(machines)))
     for k, w in enumerate(machines):
         per = w[:-1] / spread / scale
@@ -174,13 +203,17 @@ def held_out(doc: str = "doc_id"):
 
 
 def learn(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from at most ``rows`` texts of each language that are not held out, and a short piece of each."""
+    """A model from at most ``rows`` texts of each language that are not held out, and a short piece of each.
+
+    The driver holds the n-gram counts of these texts, at most FEATURES numbers each. Rows that repeat a doc_id are told
+    apart by language and text; of equal rows one may be learnt as often as it occurs, within the bound.
+    """
     usable = docs.filter(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang")
     order = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = small_side(materialise(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "lang-sizes"), BROADCAST_ROWS)
     near = usable.join(sizes, "lang").filter(order < F.lit(1 << 30) * 2.0 * rows / F.col("_n") + 1)
-    picked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))).filter(F.col("_r") <= rows).select("doc_id", "lang")
-    picked = materialise(picked.distinct(), "lang-sample")
+    picked = near.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))).filter(F.col("_r") <= rows).select("doc_id", "lang")
+    picked = materialise(picked, "lang-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,9 +229,11 @@ def learn(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> Model
                         counts.append(n.astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "ids", "counts"])
 
-    key = picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    plain = docs.select("doc_id", F.col(text).alias("text"))
-    texts = plain.join(F.broadcast(key), plain["doc_id"] == key["_id"]).select("_lang", "text")  # rows: SAMPLE_ROWS a language
+    key = small_side(picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")), BROADCAST_ROWS)
+    plain = docs.select("doc_id", "lang", F.col(text).alias("text"))
+    texts = plain.join(key, (plain["doc_id"] == key["_id"]) & (plain["lang"] == key["_lang"])).select("_lang", "doc_id", "text")
+    first = Window.partitionBy("_lang").orderBy(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)), "doc_id", F.xxhash64("text"))
+    texts = texts.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= rows).select("_lang", "text")
     got = texts.mapInArrow(count, "lang string, ids array<int>, counts array<int>").toPandas()
     got = sorted(zip(got["lang"], got["ids"], got["counts"], strict=True), key=lambda x: (x[0], len(x[1]), np.asarray(x[1]).tobytes(), np.asarray(x[2]).tobytes()))
     return fit([(a, np.asarray(b, np.int64), np.asarray(c, np.float64)) for a, b, c in got])

@@ -44,6 +44,33 @@ def test_languages_without_labels_or_rows(spark):
     assert langid.identify(cases.empty(spark), langid.learn(cases.empty(spark))).count() == 0
 
 
+def test_repeated_ids_are_learnt_with_their_own_language(spark):
+    docs = languages(spark, 60)
+    odd = spark.createDataFrame([(i, "zz yy xx ww " * 5, lang, "s", 1) for i in range(60) for lang in ("qq", None)], cases.SCHEMA)
+    both = cases.clashing(docs.union(odd).union(docs), "_lang", "_id", "lang_pred", "score")
+    model = langid.learn(both, rows=20)
+    assert set(model.languages) == {*MARKS, "qq"}
+    got = langid.identify(both, model)
+    assert {"_lang_pred", "_score"} <= set(got.columns)
+    for r in got.filter("doc_id < 60").collect():
+        assert r.lang_pred == (r.lang or "qq") or r.lang_pred in MARKS, r
+    assert all(r.lang_pred == "qq" for r in got.filter("text LIKE 'zz%'").collect())
+
+
+def test_sparse_training_matches_dense_training():
+    r = np.random.default_rng(1)
+    dense = r.random((60, 30)) * (r.random((60, 30)) < 0.3)
+    y = np.where(dense[:, 0] + 0.2 * r.random(60) > 0.3, 1.0, -1.0)
+    mean = dense.mean(0)
+    at = [np.flatnonzero(x) for x in dense]
+    rows = langid.Rows(np.concatenate([[0], np.cumsum([len(a) for a in at])]), np.concatenate(at), np.concatenate([x[a] for x, a in zip(dense, at, strict=True)]), mean)
+    w = langid.train_svm(rows, y, cost=1.0, rounds=400)
+    z = np.hstack([dense - mean, np.ones((60, 1))])
+    # at the optimum of the primal problem its gradient is nil
+    slack = np.maximum(1 - y * (z @ w), 0)
+    assert np.abs(w - 2 * z.T @ (y * slack)).max() < 1e-2
+
+
 def test_grams_do_not_cross_documents():
     texts = [b"ab", b"", b"c", b"ab"]
     offs = np.cumsum([0] + [len(t) for t in texts])
