@@ -15,10 +15,12 @@ QUERIES = {
     "op8_curriculum_mix": mixing.op8_curriculum_mix,
     "op9_segment_tree_bpe": bpe.op9_segment_tree_bpe,
     "op10_adaptive_quality": quality.op10_adaptive_quality,
+    "quoted_reply_order": quotes.quoted_reply_order,
 }
 ORACLE_SQL = {
     "op3_quotation_links": quotes.OP3_SQL,
     "op7_counting_quotient_dedup": exact_dedup.OP7_SQL,
     "op8_curriculum_mix": mixing.OP8_SQL,
     "op10_adaptive_quality": quality.OP10_SQL,
+    "quoted_reply_order": quotes.QUOTED_SQL,
 }
