@@ -14,6 +14,7 @@ from quarrylight.plans.index_queries import TOKEN_SQL
 from quarrylight.plans.lookup_queries import _IN_SCOPE, _matches, _matches_sql, asked
 from quarrylight.sources import ignore
 from quarrylight.sources.relations import TAG, load, run, text
+from quarrylight.sources.shared import shared_dir
 from quarrylight.streaming import watch
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -83,10 +84,12 @@ def uri_shortest_unique(spark, sf_dir):
     return uris.shortest_unique(rows, "url", ["file:///w"])
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(replace(url_encode(substr(text, 1, 60)), '+', '%20'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')') AS value FROM (SELECT doc_id, replace(replace(text, '+', ''), '*', '') AS text FROM documents)")
+_RESTORED = "replace(replace(replace(replace(replace(replace(replace(url_encode(text), '+', '%20'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*'), '%7E', '~')"
+
+
+@query(f"SELECT doc_id, {_RESTORED} AS value FROM documents")
 def uri_encode(spark, sf_dir):
-    plain = F.replace(F.replace("text", F.lit("+"), F.lit("")), F.lit("*"), F.lit(""))
-    return load(spark, sf_dir, "documents").select("doc_id", uris.encode_component(F.substring(plain, 1, 60)).alias("value"))
+    return load(spark, sf_dir, "documents").select("doc_id", uris.encode_component(F.col("text")).alias("value"))
 
 
 # ---------------------------------------------------------------- text
@@ -266,15 +269,19 @@ def lookup_tool_response(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT concat('u/', user_id) AS path, max(ts) AS mtime FROM events WHERE ts < TIMESTAMP '2024-01-05' GROUP BY user_id),
-    n AS (SELECT concat('u/', user_id) AS path, max(ts) AS mtime FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-08' GROUP BY user_id)
+    """WITH t AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+    e AS (SELECT concat('u/', user_id) AS path, epoch_us(ts) AS us, lo + (hi - lo) // 3 AS one, lo + 2 * ((hi - lo) // 3) AS two FROM events, t),
+    b AS (SELECT path, max(us) AS mtime FROM e WHERE us < two GROUP BY path), n AS (SELECT path, max(us) AS mtime FROM e WHERE us >= one GROUP BY path)
     SELECT coalesce(b.path, n.path) AS path, CASE WHEN b.path IS NULL THEN 'created' WHEN n.path IS NULL THEN 'deleted' ELSE 'modified' END AS change
     FROM b FULL JOIN n ON b.path = n.path WHERE b.mtime IS DISTINCT FROM n.mtime"""
 )
 def snapshot_diff(spark, sf_dir):
-    events = load(spark, sf_dir, "events").withColumn("path", F.concat(F.lit("u/"), F.col("user_id")))
-    last = lambda a, b: events.filter((F.col("ts") >= F.lit(a).cast("timestamp")) & (F.col("ts") < F.lit(b).cast("timestamp"))).groupBy("path").agg(F.max("ts").alias("mtime"))
-    return watch.snapshot_diff(last("1970-01-01", "2024-01-05"), last("2024-01-02", "2024-01-08"))
+    """Snapshots of the first and the last two thirds of the events' time."""
+    events = load(spark, sf_dir, "events").select(F.concat(F.lit("u/"), F.col("user_id")).alias("path"), watch.wall_micros("ts").alias("at"))
+    lo, hi = events.agg(F.min("at"), F.max("at")).first()
+    third = ((hi or 0) - (lo or 0)) // 3
+    last = lambda inside: events.filter(inside).groupBy("path").agg(F.max("at").alias("mtime"))
+    return watch.snapshot_diff(last(F.col("at") < (lo or 0) + 2 * third), last(F.col("at") >= (lo or 0) + third))
 
 
 WAIT_MS = 600_000
@@ -301,8 +308,7 @@ def event_windows(spark, sf_dir):
 def watch_stream_apply(spark, sf_dir):
     """Events read as a stream; every batch replaces the last event of its paths in a stored table."""
     schema = load(spark, sf_dir, "events").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    base = f"{base.rstrip('/')}/watch-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "ts", "event_type")
 
     def apply(batch: DataFrame, batch_id: int) -> None:

@@ -70,7 +70,7 @@ SQL = {
     """,
     "doc_tags": "SELECT concat(dir, '::', branch, '::chunks') AS tag, concat(doc_id, ':', i) AS chunk_id FROM {files} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) p WHERE i <= doc_id % 3",
     "snippets": """
-        SELECT doc_id AS id, path, cache_key, concat('title_', doc_id % 50) AS title, substr(content, 1, 40) AS content, concat('def title_', doc_id % 50, '()') AS signature,
+        SELECT doc_id AS id, path, cache_key, concat('title_', doc_id % 50) AS title, content, concat('def title_', doc_id % 50, '()') AS signature,
                CAST(doc_id % 7 AS INT) AS start_line, CAST(doc_id % 7 + 3 AS INT) AS end_line, concat(dir, '::', branch, '::codeSnippets') AS tag FROM {files}
     """,
 }
