@@ -33,14 +33,16 @@ _CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Characters of a window, and those that it shares with the next.
-WINDOW, SHARED = 192, 32
+WINDOW, SHARED = 256, 32
 HIDDEN, EMBEDDED = 12, 10
 #: Weight of each character's own labels in training, and the largest score of a transition.
 ALONE, STEPPING = 2.0, 1.0
 #: Windows that are read side by side.
-WINDOWS = 2048
+WINDOWS = 1024
 #: Least mean label probability of an added span.
 SURE = 0.5
+#: Score of O, and less of all others, behind the end of a text.
+_SURELY = 50.0
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 _STOPS = " \t\r\n.,;:!?|#$\"'"
@@ -136,9 +138,9 @@ class Network:
 
     @staticmethod
     def allowed() -> np.ndarray:
-        """0, or very low where a label cannot follow another (rows: from; the last row: at the start of a text)."""
+        """0, or very low where a label cannot follow another (rows: from)."""
         k = len(LABELS)
-        low = np.zeros((k + 1, k), np.float32)
+        low = np.zeros((k, k), np.float32)
         for j in range(2, k, 2):
             low[:, j] = -1e4
             low[j, j] = low[j - 1, j] = 0
@@ -164,7 +166,7 @@ class Network:
             memory[d] = trace
         emit = states @ self.p["out"] + self.p["bias"]
         # the field: forward and backward sums, scaled at every step; a window may begin inside a span
-        path = np.exp(self.p["step"] + self.allowed()[:-1])
+        path = np.exp(self.p["step"] + self.allowed())
         top = emit.max(2, keepdims=True)
         e = np.exp(emit - top)
         fore, aft, scale = np.zeros((n, t, k)), np.ones((n, t, k)), np.zeros((n, t, 1))
@@ -176,7 +178,7 @@ class Network:
             aft[:, i] = (e[:, i + 1] * aft[:, i + 1] / scale[:, i + 1]) @ path.T
         total = np.log(scale).sum((1, 2)) + top.sum((1, 2))
         rows, cols = np.arange(n)[:, None], np.arange(t)[None, :]
-        gold = emit[rows, cols, y].sum(1) + (self.p["step"] + self.allowed()[:-1])[y[:, :-1], y[:, 1:]].sum(1)
+        gold = emit[rows, cols, y].sum(1) + (self.p["step"] + self.allowed())[y[:, :-1], y[:, 1:]].sum(1)
         ahead = (e * aft / scale)[:, 1:].reshape(-1, k)
         g: dict[str, np.ndarray] = {"step": path * (fore[:, :-1].reshape(-1, k).T @ ahead)}
         np.add.at(g["step"], (y[:, :-1], y[:, 1:]), -1)
@@ -237,15 +239,15 @@ class Network:
         emit += self.p["bias"].astype(np.float32)[:, None]
         return np.ascontiguousarray(emit.transpose(1, 2, 0))
 
-    def paths(self, emit: np.ndarray, lengths: np.ndarray, open_: np.ndarray, shut: np.ndarray) -> np.ndarray:
-        """Viterbi labels (batch, time) of padded stretches of scores, the shortest first. open_, shut: stretches at a
-        text's start and end; others stand between two characters labelled O."""
+    def paths(self, emit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Viterbi labels (batch, time) of padded stretches of scores, the shortest first, between two labels O: a text
+        counts as if O stood before and behind it."""
         n, t, k = emit.shape
         low = self.allowed()
-        step = (self.p["step"] + low[:-1]).astype(np.float32)
+        step = (self.p["step"] + low).astype(np.float32)
         emit = np.ascontiguousarray(emit.transpose(1, 2, 0))
         free, inside = [0, *range(1, k, 2)], np.arange(2, k, 2)  # labels that may follow any, and those that go on
-        best = emit[0] + np.where(open_, low[-1][:, None], step[0][:, None])
+        best = emit[0] + step[0][:, None]
         back = np.empty((t, k, n), np.int8)
         rows = np.arange(n)
         new, source = np.empty((k, n), np.float32), np.empty((k, n), np.int8)
@@ -262,7 +264,7 @@ class Network:
             live = int(np.searchsorted(lengths, i, "right"))  # lengths ascend: those before have ended
             best[:, live:] = new[:, live:]
             back[i, :, live:], back[i, :, :live] = source[:, live:], np.arange(k)[:, None]
-        best = best + np.where(shut, 0, step[:, 0][:, None])
+        best = best + step[:, 0][:, None]
         out = np.zeros((n, t), np.int64)
         out[:, -1] = best.argmax(0)
         for i in range(t - 1, 0, -1):
@@ -276,13 +278,12 @@ class Network:
         path if putting O in place of the labels around it, as far as O is ahead by far, must raise the score: the sum
         of the leads there beats all that the transitions at both ends and a span begun anew behind it can cost.
         """
-        low = self.allowed()[:-1]
+        low = self.allowed()
         fine, step = low > -1, (self.p["step"] + low).astype(np.float64)
         size, n = len(LABELS), emit.shape[1]
         begin, inside = [0, *range(1, size, 2)], range(2, size, 2)
         into = np.where(fine, step, -np.inf).max(0) - step[0, 0]  # the most that stepping into a label brings
         lead = emit[0] - (emit[1:] + into[1:, None].astype(np.float32)).max(0)
-        lead[starts] = (emit[0] - (emit[1:] + np.maximum(into[1:, None], 0).astype(np.float32)).max(0))[starts]
         enter = max(0.0, step[0, 0] - step[:, 0].min())
         leave = max(0.0, max(step[i, j] - step[0, j] for i in range(1, size) for j in begin))
         again = max(max(step[j, j], step[j - 1, j]) - step[0, j - 1] + max(0.0, max(step[j, m] - step[j - 1, m] for m in [*begin, j])) for j in inside)
@@ -290,8 +291,8 @@ class Network:
         anew = np.maximum((emit[2::2] - emit[1::2]).max(0), 0)  # what beginning a span costs against going on
         gap = self.p["out"][:, 2::2] - self.p["out"][:, 1::2]
         most = max(0.0, float((np.abs(gap).sum(0) + self.p["bias"][2::2] - self.p["bias"][1::2]).max())) if goes_on else 0.0
-        ends = np.flatnonzero(quiet & np.append(~quiet[1:] | starts[1:], True))
-        stop = np.append(ends, n)[np.searchsorted(ends, np.arange(n))]
+        ends = quiet & np.append(~quiet[1:] | starts[1:], True)
+        stop = np.minimum.accumulate(np.where(ends, np.arange(n), n)[::-1])[::-1]  # of the quiet run
         sums = np.concatenate([[0.0], np.cumsum(np.where(quiet, lead, 0), dtype=np.float64), [0.0]])
         behind = np.concatenate([np.where(starts, 0, anew), [most, 0.0]])
         return ~((lead > enter + leave) & (sums[stop + 1] - sums[:n] > enter + np.maximum(leave, again + behind[stop + 1])))
@@ -412,15 +413,12 @@ def network_spans(texts: list[str], net: Network) -> list[list[tuple[Span, float
     begins = np.concatenate([[True], of[1:] != of[:-1]])  # windows that begin a text
     follows = np.append(~begins[1:], False)  # windows that another of their text follows
     ramp = (np.arange(1, SHARED + 1) / (SHARED + 1)).astype(np.float32)
-    within = np.zeros(count * stride, bool)
-    for k, n in enumerate(sizes.tolist()):
-        within[first[k] * stride : first[k] * stride + n] = True
     kept_at, kept_emit, tail = [], [], np.zeros((len(LABELS), 1, SHARED), np.float32)
-    carry = None  # scores of the characters whose stretch the next windows may go on with
+    carry = np.zeros((len(LABELS), 0), np.float32)  # scores of the characters whose stretch the next windows may go on with
     for a in range(0, count, WINDOWS):
         b = min(a + WINDOWS, count)
         at = np.arange(a, b) * stride + np.arange(WINDOW)[:, None]
-        x = codes[np.minimum(at, len(codes) - 1)].astype(np.intp)
+        x = codes[at].astype(np.intp)
         x[stride:, ~follows[a:b]] = 0
         emit = net.read(x)
         body, tails = emit[:, :, :stride], emit[:, :, stride:]
@@ -428,19 +426,21 @@ def network_spans(texts: list[str], net: Network) -> list[list[tuple[Span, float
         go_on = ~begins[a:b]
         body[:, go_on, :SHARED] = body[:, go_on, :SHARED] * ramp + earlier[:, go_on] * (1 - ramp)
         tail = tails[:, -1:].copy()
-        flat, offset = body.reshape(len(LABELS), -1), a * stride
-        inside = np.flatnonzero(within[offset : offset + flat.shape[1]])
-        flat, spots = flat[:, inside], inside + offset
-        if carry is not None:
-            flat, spots = np.concatenate([carry[0], flat], 1), np.concatenate([carry[1], spots])
+        padding = codes[a * stride : b * stride].reshape(b - a, stride) == 0  # O by definition
+        body[0][padding] = _SURELY
+        body[1:, padding] = -_SURELY
+        base = a * stride - carry.shape[1]
+        flat = np.concatenate([carry, body.reshape(len(LABELS), -1)], 1)
+        starts = np.zeros(flat.shape[1], bool)
+        starts[np.flatnonzero(begins[a:b]) * stride + carry.shape[1]] = True
         goes_on = b < count and not begins[b]
-        open_ = net.open_stretches(flat, (spots % stride == 0) & begins[spots // stride], goes_on)
-        cut = len(spots)
+        open_ = net.open_stretches(flat, starts, goes_on)
+        cut = flat.shape[1]
         if goes_on:  # the last stretch may go on: it is held back
             cut = int(np.flatnonzero(~open_).max(initial=-1)) + 1
-        carry = (flat[:, cut:], spots[cut:]) if cut < len(spots) else None
+        carry = flat[:, cut:].copy()
         mine = np.flatnonzero(open_[:cut])
-        kept_at.append(spots[mine])
+        kept_at.append(mine + base)
         kept_emit.append(flat[:, mine].T)
     at, emit = np.concatenate(kept_at), np.concatenate(kept_emit)
     if not len(at):
@@ -460,7 +460,7 @@ def network_spans(texts: list[str], net: Network) -> list[list[tuple[Span, float
         longest = int(length[part[-1]])
         cols = heads[part][:, None] + np.minimum(np.arange(longest), length[part][:, None] - 1)
         mine = emit[cols]
-        path = net.paths(mine, length[part], place[part] == 0, place[part] + length[part] == sizes[text_of[part]])
+        path = net.paths(mine, length[part])
         e = np.exp(mine - mine.max(2, keepdims=True))
         sure = np.take_along_axis(e / e.sum(2, keepdims=True), path[:, :, None], 2)[:, :, 0]
         for row, s in enumerate(part.tolist()):
