@@ -49,9 +49,15 @@ def find_symbols(symbols: DataFrame, queries: DataFrame, pieces: DataFrame | Non
     For each query only the first tier with a match counts. Of matches with the same place and number of pieces the
     first stays. pieces: (id, pieces); without it doubles are told by place alone. An empty query matches nothing.
     """
-    asked = F.broadcast(queries.select("query").filter(F.length("query") > 0).distinct())  # a stated set of queries
-    found = symbols.join(asked, fold(F.col("name")).contains(fold(F.col("query")))).withColumn("tier", tier(F.col("name"), F.col("query")))
-    best = found.withColumn("_best", F.min("tier").over(Window.partitionBy("query"))).filter("tier = _best")
+    asked = queries.select("query").filter(F.length("query") > 0).distinct()  # a stated set of queries
+    same_name = F.broadcast(asked.withColumn("_fold", fold(F.col("query"))))
+    equal = symbols.join(same_name, fold(F.col("name")) == F.col("_fold")).drop("_fold")
+    # only what no name equals is looked for inside of names
+    open_ = F.broadcast(asked.join(F.broadcast(equal.select("query").distinct()), "query", "left_anti"))
+    inside = symbols.join(open_, fold(F.col("name")).contains(fold(F.col("query"))))
+    found = equal.unionByName(inside).withColumn("tier", tier(F.col("name"), F.col("query")))
+    least = F.broadcast(found.groupBy("query").agg(F.min("tier").alias("_best")))  # a row for each query
+    best = found.join(least, "query").filter("tier = _best").drop("_best")
     if pieces is not None:
         best = best.join(pieces.select("id", "pieces"), "id", "left").fillna(0, ["pieces"])
     else:
