@@ -84,18 +84,24 @@ def n_lines(c: Column) -> Column:
 
 
 def limit_pieces(pieces: Column, most: int) -> Column:
-    """struct(code, omitted): whole pieces of at most so many lines, and a note of how many lines were left out; 0 is no limit."""
+    """struct(code, omitted): whole pieces of at most so many lines, and a note of how many lines were left out; 0 is no limit.
+
+    Every piece's lines are counted once.
+    """
     whole = F.array_join(pieces, "")
     if most <= 0:
         return F.struct(whole.alias("code"), F.lit(0).alias("omitted"))
-    start = F.struct(F.lit("").alias("text"), F.lit(True).alias("open"))
+    start = F.struct(F.lit(0).alias("kept"), F.lit(0).alias("lines"), F.lit("").alias("last"), F.lit(True).alias("open"))
 
     def step(a: Column, piece: Column) -> Column:
-        longer = F.concat(a["text"], piece)
-        fits = a["open"] & (n_lines(longer) <= most)
-        return F.struct(F.when(fits, longer).otherwise(a["text"]).alias("text"), fits.alias("open"))
-
-    kept = F.aggregate(pieces, start, step)
+        # a piece goes on with the line before it if that has no end, or half of one
+        goes_on = (a["last"] != "") & (piece != "") & (~a["last"].rlike(f"^(?:{LINE_END})$") | ((a["last"] == "\r") & piece.startswith("\n")))
+        lines = a["lines"] + n_lines(piece) - goes_on.cast("int")
+        fits = a["open"] & (lines <= most)
+        return F.struct((a["kept"] + fits.cast("int")).alias("kept"), F.when(fits, lines).otherwise(a["lines"]).alias("lines"), F.when(fits & (piece != ""), F.right(piece, F.lit(1))).otherwise(a["last"]).alias("last"), fits.alias("open"))
+
+    told = F.aggregate(pieces, start, step)
+    kept = F.struct(F.array_join(F.slice(pieces, F.lit(1), told["kept"]), "").alias("text"), told["open"].alias("open"))
     omitted = F.greatest(n_lines(whole) - n_lines(kept["text"]), F.lit(0))
     note = F.concat(F.lit("# ... "), omitted.cast("string"), F.lit(' more lines omitted, use detail="signature" or read_file for the rest ...'))
     lead = F.when((kept["text"] == "") | kept["text"].endswith("\n"), kept["text"]).otherwise(F.concat(kept["text"], F.lit("\n")))

@@ -263,3 +263,23 @@ def test_moves_touch_two_paths(spark):
 def test_formatted_symbol(spark):
     got = one(spark, tools.format_symbol(F.lit("a/b.py"), F.lit(3), F.lit(4), F.lit("f"), F.lit("id1"), F.lit("code"), F.lit(True), F.lit(9)))
     assert got.startswith("a/b.py:3-4  symbol: f\nid: id1\n[truncated — showing lines 3-4 of 9; ") and got.endswith("\n```python\ncode\n```")
+
+
+def test_lines_are_counted_over_pieces(spark):
+    import random
+
+    r, rows = random.Random(3), []
+    for i in range(200):
+        rows.append((i, ["".join(r.choice("ab\n\r\x0c") for _ in range(r.randint(0, 6))) for _ in range(r.randint(0, 7))]))
+    frame = spark.createDataFrame(rows, "i int, pieces array<string>").withColumn("r", rebuild.limit_pieces(F.col("pieces"), 3))
+    for row in frame.collect():
+        kept = []
+        for piece in row.pieces:
+            if len("".join([*kept, piece]).splitlines()) > 3:
+                break
+            kept.append(piece)
+        whole, text_ = "".join(row.pieces), "".join(kept)
+        if len(kept) == len(row.pieces):
+            assert row.r.code == whole and row.r.omitted == 0
+        else:
+            assert row.r.code.startswith(text_) and row.r.omitted == max(0, len(whole.splitlines()) - len(text_.splitlines()))
