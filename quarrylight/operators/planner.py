@@ -14,9 +14,12 @@ ADDS = ("compute", "addTag")
 
 def latest(catalog: DataFrame) -> DataFrame:
     """(path, cache_key, last_updated, n_versions) of the newest saved version; of equally new ones the least hash."""
-    best = F.max_by("cache_key", F.struct("last_updated", F.col("_rank")))
-    ranked = catalog.withColumn("_rank", -F.row_number().over(Window.partitionBy("path", "last_updated").orderBy("cache_key")))
-    return ranked.groupBy("path").agg(best.alias("cache_key"), F.max("last_updated").alias("last_updated"), F.count(F.lit(1)).alias("n_versions"))
+    return catalog.groupBy("path").agg(_newest()["cache_key"].alias("cache_key"), F.max("last_updated").alias("last_updated"), F.count(F.lit(1)).alias("n_versions"))
+
+
+def _newest() -> Column:
+    """Of a path's saved versions the newest, of equally new ones the least hash."""
+    return F.min(F.struct(F.col("last_updated").isNull().alias("unknown"), (-F.col("last_updated")).alias("age"), F.col("cache_key").alias("cache_key")))
 
 
 def diff(files: DataFrame, catalog: DataFrame, paths: list[str] | None = None) -> DataFrame:
@@ -29,7 +32,7 @@ def diff(files: DataFrame, catalog: DataFrame, paths: list[str] | None = None) -
     current = files.filter(F.col("size") <= MOST_BYTES)
     if paths is not None:
         current, catalog = current.filter(F.col("path").isin(paths)), catalog.filter(F.col("path").isin(paths))
-    saved = catalog.groupBy("path").agg(F.collect_list("cache_key").alias("versions")).join(latest(catalog), "path").withColumnsRenamed({"cache_key": "old", "last_updated": "saved_at"})
+    saved = catalog.groupBy("path").agg(F.collect_list("cache_key").alias("versions"), _newest()["cache_key"].alias("old"), F.max("last_updated").alias("saved_at"))
     both = saved.join(current.select("path", F.col("cache_key").alias("new"), "last_modified"), "path", "full_outer")
     item = lambda key, kind: F.struct(key.alias("cache_key"), F.lit(kind).alias("kind"))
     every = lambda kind, keep=None: F.transform(F.filter("versions", keep) if keep else F.col("versions"), lambda v: item(v, kind))
