@@ -87,10 +87,14 @@ def description(uri: Column, dirs: list[str]) -> Column:
 
 
 def shortest_unique(df, uri: str, dirs: list[str]):
-    """(uri, unique_path): the shortest end of the relative path that no other row has, else the whole relative path."""
-    rows = df.select(F.col(uri).alias("uri")).withColumn("_row", F.monotonically_increasing_id()).withColumn("_rel", find_in_dirs(F.col("uri"), dirs)["relative"])
+    """(uri, unique_path): the shortest end of the relative path that no other row has, else the whole relative path.
+
+    Rows are told apart by their URI alone (an end of a URI that repeats is never unique), since the rows are read twice
+    and come out of a shuffle in any order.
+    """
+    rows = df.select(F.col(uri).alias("uri")).withColumn("_rel", find_in_dirs(F.col("uri"), dirs)["relative"])
     parts = F.split("_rel", "/")
-    ends = rows.select("uri", "_row", "_rel", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))).alias("_n", "_end"))
-    once = ends.groupBy("_end").agg(F.count(F.lit(1)).alias("_c"), F.min("_row").alias("_row"), F.min("_n").alias("_n")).filter("_c = 1")
-    best = once.groupBy("_row").agg(F.min_by("_end", "_n").alias("_best"))
-    return rows.join(best, "_row", "left").select("uri", F.coalesce("_best", "_rel").alias("unique_path"))
+    ends = rows.select("uri", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))).alias("_n", "_end"))
+    once = ends.groupBy("_end").agg(F.count(F.lit(1)).alias("_c"), F.min("uri").alias("uri"), F.min("_n").alias("_n")).filter("_c = 1")
+    best = once.groupBy("uri").agg(F.min_by("_end", "_n").alias("_best"))
+    return rows.join(best, "uri", "left").select("uri", F.coalesce("_best", "_rel").alias("unique_path"))

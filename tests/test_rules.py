@@ -57,6 +57,21 @@ def test_uri_components(spark):
         assert one(spark, uris.decode_component(F.lit(s.replace("/%", "")))) == unquote(s.replace("/%", ""))
 
 
+def test_shortest_unique_paths_of_rows_that_come_in_any_order(spark):
+    def dealt(frames):  # a new order each time the rows are read, as from a shuffle
+        for f in frames:
+            yield f.sample(frac=1)
+
+    names = [f"file:///w/d{i % 7}/{i // 2}.txt" for i in range(301)] + ["file:///w/a/same.txt"] * 2
+    df = spark.createDataFrame([(n,) for n in names], "url string").coalesce(1).mapInPandas(dealt, "url string")
+    got = sorted((r.uri, r.unique_path) for r in uris.shortest_unique(df, "url", ["file:///w"]).collect())
+    want = []
+    for n in names:
+        folder, base = n.removeprefix("file:///w/").split("/")
+        want.append((n, base if sum(m.endswith(f"/{base}") for m in names) == 1 else f"{folder}/{base}"))
+    assert got == sorted(want)
+
+
 def test_line_pruning_keeps_the_last_line_that_fits(spark):
     assert one(spark, tokens.prune_lines(F.lit("a b c\nd e\nf"), 4, top=True)) == "d e\nf"
     assert one(spark, tokens.prune_lines(F.lit("a b c\nd e\nf"), 3, top=False)) == "a b c"
