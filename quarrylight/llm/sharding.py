@@ -1,23 +1,27 @@
 """Sharding by a two-pass external shuffle, with DataFrame functions only.
 
-Pass one scatters the records over memory-sized buckets by seeded hashes; pass two permutes each bucket
+Pass one scatters the whole records over memory-sized buckets by seeded hashes; pass two permutes each bucket
 by Fisher-Yates with seeded draws and writes it. The shard of a record depends on its key and the number
-of shards alone (highest random weight), so one more shard takes rows only into itself.
+of shards alone (highest random weight), so one more shard takes rows only into itself. A record moves once:
+what is gathered in memory is the order of a bucket, not its records, which are sorted and may spill.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import materialise, quoted, small_side
+from quarrylight.llm.common import materialise, quoted, shared_dir, small_side
 
 SHARDS = 16
-#: Rows and bytes that a bucket aims at. A bucket is gathered in one task.
+#: Rows and bytes that a bucket aims at. A bucket is permuted in one task.
 BUCKET_ROWS = 1024
 BUCKET_BYTES = 32 << 20
+#: Bytes of records that a task of pass two aims at, where the session's number of shuffle partitions gives more.
+TASK_BYTES = 64 << 20
 #: Distinct rows that repeat over half a bucket: broadcast up to this many, joined by a shuffle beyond.
 OFTEN_ROWS = 100_000
 SEED = 20_231
@@ -50,7 +54,9 @@ def shuffle_shards(records: DataFrame, key: str, shards: int = SHARDS, size: Col
     size: bytes of a record (1 if not given). Rows with the same key share a shard; rows that are the same in
     every column are interchangeable, and where one repeats very often its copies are dealt over all buckets
     of the shard. Nulls are hashed as any value; an empty table gives an empty table. Columns of the input
-    called shard, slot or grown_shard are kept under a leading underscore.
+    called shard, slot or grown_shard are kept under a leading underscore. Each partition of the result is a run
+    of buckets, so of each shard it holds one range of slots. One line per bucket (its first slot and its rows)
+    is broadcast.
     """
     spark, own = records.sparkSession, {"shard", "slot", "grown_shard"}
     taken = {c.lower() for c in records.columns}
@@ -64,49 +70,59 @@ def shuffle_shards(records: DataFrame, key: str, shards: int = SHARDS, size: Col
             names[c] = name
         else:
             names[c] = c
-    flat = records.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()])
-    key_col = F.col(quoted(names[key]))
-    weight = F.lit(1) if size is None else size
-    total = flat.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("b")).first()
-    buckets = max(1, math.ceil(total["n"] / shards / BUCKET_ROWS), math.ceil(total["b"] / shards / BUCKET_BYTES))
 
     def hashable(c: str) -> Column:
-        kind = flat.schema[c].dataType.simpleString()
+        kind = records.schema[c].dataType.simpleString()
         return F.col(quoted(c)) if "map<" not in kind and "variant" not in kind else F.to_json(F.struct(F.col(quoted(c))))
 
-    content = F.xxhash64(F.lit(seed), *[hashable(c) for c in flat.columns])
-    rows = flat.select(
+    key_col = F.col(quoted(key))
+    rows = records.select(
         shard_of(key_col, shards, seed).alias("shard"), shard_of(key_col, shards + 1, seed).alias("grown_shard"),
-        content.alias("_hash"), F.struct(*[F.col(quoted(c)) for c in flat.columns]).alias("_row"),
+        F.xxhash64(F.lit(seed), *[hashable(c) for c in records.columns]).alias("_hash"), (F.lit(1) if size is None else size).alias("_weight"),
+        F.struct(*[F.col(quoted(c)).alias(n) for c, n in names.items()]).alias("_row"),
     )
+    keys = materialise(rows.select("shard", "_hash", "_weight"), "keys")
+    total = keys.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_weight"), F.lit(0)).alias("b")).first()
+    buckets = max(1, math.ceil(total["n"] / shards / BUCKET_ROWS), math.ceil(total["b"] / shards / BUCKET_BYTES))
+    tasks = min(shards * buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total["b"] / TASK_BYTES)))
     #: a row that repeats over half a bucket: its copies are dealt by the task that read them as well
-    often = rows.groupBy("shard", "_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUCKET_ROWS // 2).select("shard", "_hash", F.lit(1).alias("_often"))
+    often = keys.groupBy("shard", "_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUCKET_ROWS // 2).select("shard", "_hash", F.lit(1).alias("_often"))
     often = materialise(often, "often")
-    rows = rows.withColumn("_task", F.monotonically_increasing_id())
     salt = F.lit(None).cast("long")
     if often.limit(1).count():
-        rows, salt = rows.join(small_side(often, OFTEN_ROWS), ["shard", "_hash"], "left"), F.when(F.col("_often").isNotNull(), F.col("_task"))
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_hash", salt), F.lit(buckets)).cast("int"))
-    gathered = dealt.groupBy("shard", "_bucket").agg(
-        F.array_sort(F.collect_list(F.struct("_hash", "_task", "grown_shard", "_row")), lambda a, b: F.when(a["_hash"] < b["_hash"], -1).when(a["_hash"] > b["_hash"], 1).when(a["_task"] < b["_task"], -1).when(a["_task"] > b["_task"], 1).otherwise(0)).alias("_rows")
-    )
-    order = fisher_yates(F.sequence(F.lit(0), F.size("_rows") - 1), F.xxhash64(F.lit(seed + 2), "shard", "_bucket"))
-    counts = dealt.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_count"))
-    starts = counts.select("shard", "_bucket", (F.sum("_count").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_count")).alias("_start"))
-    permuted = gathered.withColumn("_order", order).join(starts, ["shard", "_bucket"])
-    each = permuted.select("shard", "_start", "_rows", F.posexplode("_order").alias("_at", "_from"))
-    got = F.get(F.col("_rows"), F.col("_from"))
-    return each.select(*[got["_row"][c].alias(c) for c in flat.columns], "shard", got["grown_shard"].alias("grown_shard"), (F.col("_start") + F.col("_at")).cast("long").alias("slot"))
-
-
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """Writes shard=N folders whose files hold ascending, disjoint ranges of slots."""
-    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+        # written once: the buckets are counted and filled by the same numbers
+        rows = keys = materialise(rows.withColumn("_task", F.monotonically_increasing_id()).join(small_side(often, OFTEN_ROWS), ["shard", "_hash"], "left"), "rows")
+        salt = F.when(F.col("_often").isNotNull(), F.col("_task"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "_hash", salt), F.lit(buckets)).cast("int")
+    counts = keys.select("shard", bucket.alias("_bucket")).groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_count"))
+    starts = counts.select("shard", "_bucket", "_count", (F.sum("_count").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_count")).alias("_start"))
+    # pass one: the buckets in order, dealt over the tasks in runs
+    place = F.col("shard").cast("long") * buckets + F.col("_bucket")
+    dealt = rows.select("shard", "grown_shard", "_hash", bucket.alias("_bucket"), "_row").withColumn("_part", F.floor(place * tasks / (shards * buckets)).cast("int"))
+    # pass two: the record of rank r in its bucket goes where the shuffled order of the bucket has r
+    within = Window.partitionBy("_part", "shard", "_bucket").orderBy("_hash")
+    ranked = dealt.repartitionById(tasks, F.col("_part")).withColumn("_rank", (F.row_number().over(within) - 1).cast("int")).join(F.broadcast(starts), ["shard", "_bucket"])
+    order = fisher_yates(F.sequence(F.lit(0), F.col("_count").cast("int") - 1), F.xxhash64(F.lit(seed + 2), "shard", "_bucket"))
+    once = ranked.withColumn("_order", F.when(F.col("_rank") == 0, order))
+    known = once.withColumn("_order", F.first("_order", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    slot = (F.col("_start") + F.array_position("_order", F.col("_rank")) - 1).cast("long")
+    return known.select(*[F.col("_row")[n].alias(n) for n in names.values()], "shard", "grown_shard", slot.alias("slot"))
+
+
+def write_shards(sharded: DataFrame, path: str, in_runs: bool = False) -> None:
+    """Writes shard=N folders whose files hold ascending, disjoint ranges of slots.
+
+    in_runs: the partitions are those of shuffle_shards, so the records need not move again.
+    """
+    runs = sharded if in_runs else sharded.repartitionByRange("shard", "slot")
+    runs.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    slim = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    slim = materialise(slim, "sizes")  # read four times below
-    out = shuffle_shards(slim, "doc_id", SHARDS, F.col("size"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    sharded = shuffle_shards(docs, "doc_id", SHARDS, size)
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(sharded, path, in_runs=True)
+    out = spark.read.schema(sharded.schema).parquet(path)
+    return out.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -50,6 +50,37 @@ def test_shards_with_a_row_that_repeats_very_often(spark, monkeypatch):
     assert {"_shard", "_slot", "_row"} <= set(rows[0].asDict())
 
 
+def test_query_moves_whole_documents_into_the_shards(spark, tmp_path, monkeypatch):
+    written, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(sharding, "TASK_BYTES", 1 << 13)
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path, **more: (written.append(path), write(df, path, **more)))
+    docs = cases.documents(spark, 200)
+    rows = {r.doc_id: r for r in sharding.op4_two_pass_shuffle(spark, cases.sf(docs, tmp_path)).collect()}
+    assert len(written) == 1
+    stored = spark.read.parquet(written[0]).withColumn("file", F.input_file_name()).collect()
+    plain = lambda r: (r.doc_id, r.text, r.lang, r.source, r.n_chars)
+    assert sorted(map(plain, stored), key=lambda r: r[0]) == sorted(map(plain, docs.collect()), key=lambda r: r[0])
+    slots = collections.defaultdict(list)
+    for r in stored:
+        assert (r["shard"], r.slot, r.grown_shard) == (rows[r.doc_id]["shard"], rows[r.doc_id].slot, rows[r.doc_id].grown_shard)
+        slots[r.file].append(r.slot)
+    assert all(s == list(range(s[0], s[0] + len(s))) for s in slots.values()) and len(slots) > 16
+
+
+def test_slots_have_no_gaps_where_rows_are_read_in_another_order(spark, monkeypatch):
+    def dealt(frames):  # a new order each time the rows are read, as from a shuffle
+        for f in frames:
+            yield f.sample(frac=1)
+
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 16)
+    ids = spark.range(600).selectExpr("if(id < 300, 5, id) AS doc_id").coalesce(1).mapInPandas(dealt, "doc_id long")
+    rows = sharding.shuffle_shards(ids, "doc_id", 2).collect()
+    assert len(rows) == 600
+    for s in (0, 1):
+        assert sorted(r.slot for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
